@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, minhash, secrets, vectors
+from . import bpe, decontam, minhash, phrases, secrets, vectors
 
 
 def _ranks() -> str:
@@ -31,6 +31,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"), _ranks())
 
 
+def op7_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.report(_table(spark, sf_dir, "embeddings"))
 
