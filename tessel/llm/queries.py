@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, minhash, phrases, secrets, vectors
+from . import bpe, decontam, minhash, phrases, secrets, urls, vectors, warc
 
 
 def _ranks() -> str:
@@ -31,6 +31,14 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"), _ranks())
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(_table(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(_table(spark, sf_dir, "pages"))
+
+
 def op7_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.report(_table(spark, sf_dir, "documents"))
 
