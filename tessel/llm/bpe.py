@@ -225,35 +225,39 @@ def _grouped(texts: list[str]) -> Iterator[list[str]]:
         yield some
 
 
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+#: What encode() can return for each text, with Spark's and Arrow's types.
+OUTPUTS = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+
+
+def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """Encode every text and decode the ids again, in the tasks that read the rows.
 
-    Returns id_col, n_tokens, and either ids (array of int) and decoded (binary), or
-    with digests=True ids_sha256 and decoded_sha256, the hex digests of the decimal ids
-    joined by spaces and of the decoded bytes.  No shuffle; a task holds one group of
-    CHARS_AT_ONCE characters (or one longer text) and at most REMEMBERED pieces besides.
+    Returns id_col, n_tokens and the outputs asked for: ids, decoded (the bytes decoded
+    from them), ids_sha256 and decoded_sha256 (the hex digests of the decimal ids joined by
+    spaces and of the decoded bytes).  No shuffle; a task holds one group of CHARS_AT_ONCE
+    characters (or one longer text) and at most REMEMBERED pieces besides.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    result = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
 
     def run(batches):
         own = coder(ranks_path)
+        make = {
+            "ids": lambda ids, data: np.fromstring(ids, dtype=np.int32, sep=" "),
+            "decoded": lambda ids, data: data,
+            "ids_sha256": lambda ids, data: hashlib.sha256(ids.encode()).hexdigest(),
+            "decoded_sha256": lambda ids, data: hashlib.sha256(data).hexdigest(),
+        }
         for batch in batches:
-            texts = as_strings(batch.column(1))
             done = 0
-            for some in _grouped(texts.to_pylist()):
-                counts, first, second = [], [], []
+            for some in _grouped(as_strings(batch.column(1)).to_pylist()):
+                counts, found = [], [[] for _ in outputs]
                 for n, ids, data in own.encode(some):
                     counts.append(n)
-                    first.append(hashlib.sha256(ids.encode()).hexdigest() if digests else np.fromstring(ids, dtype=np.int32, sep=" "))
-                    second.append(hashlib.sha256(data).hexdigest() if digests else data)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(done, len(some)), pa.array(counts, pa.int64()), pa.array(first, pa.string() if digests else pa.list_(pa.int32())), pa.array(second, pa.string() if digests else pa.binary())],
-                    names=["id", "n", "a", "b"],
-                )
+                    for out, name in zip(found, outputs, strict=True):
+                        out.append(make[name](ids, data))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(some)), pa.array(counts, pa.int64()), *(pa.array(x, OUTPUTS[o][1]) for x, o in zip(found, outputs, strict=True))], names=["id", "n_tokens", *outputs])
                 done += len(some)
 
-    out = rows.mapInArrow(run, f"id {kind}, n long, " + result.replace("ids_sha256", "a").replace("decoded_sha256", "b").replace("ids ", "a ").replace("decoded ", "b "))
-    names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("a").alias(names[0]), F.col("b").alias(names[1]))
+    out = rows.mapInArrow(run, f"id {kind}, n_tokens long, " + ", ".join(f"{o} {OUTPUTS[o][0]}" for o in outputs))
+    return out.withColumnRenamed("id", id_col)

@@ -230,4 +230,10 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns.
 
+    Only the ids of contaminated documents are dealt, and joined with those of docs.
+    """
+    gone = find(docs, benchmark).where(contaminated()).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, decontam, minhash, phrases, quality, secrets, toxicity, urls, vectors, warc
 
 
-def _ranks() -> str:
+def ranks_path() -> str:
+    """The vocabulary that the queries use."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -28,11 +29,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(_table(spark, sf_dir, "documents"), _ranks(), digests=True)
+    return bpe.encode(_table(spark, sf_dir, "documents"), ranks_path(), outputs=("ids_sha256", "decoded_sha256"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(_table(spark, sf_dir, "documents"), _ranks())
+    return secrets.report(_table(spark, sf_dir, "documents"), ranks_path())
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
