@@ -6,11 +6,14 @@ with max_by before their shuffle, so a key with many entries costs a task little
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kv import as_of as as_of_join
+
 
 def stack(layers: list[tuple[int, DataFrame]]) -> DataFrame:
     """Layers of one schema as rows with prio; a higher prio shadows the lower ones."""
@@ -24,25 +27,34 @@ def newest(entries: DataFrame, key: str, order: list[str]) -> DataFrame:
     return won.select(*(F.col("_won")[n].alias(n) for n in names))
 
 
+#: Disjoint tombstones that are written into the plan as a constant.
+PIECES = 1000
+
+
 def outside(entries: DataFrame, ranges: DataFrame, key: str, order: str = "prio") -> DataFrame:
     """Entries that no range tombstone (lo, hi, order) of a later order covers.
 
-    Ranges are first cut into disjoint pieces, each with the latest order that covers it;
-    the pieces, sorted, are searched for each entry as one array where they are few, so
-    that a layer's rows never meet all its tombstones; see PIECES.
+    Ranges are first cut into disjoint pieces, each with the latest order over it.  Up to
+    PIECES of them become a constant of the filter, without any join.  More are met by an
+    as-of join on the key's spans: at most one piece can cover a key, the last that begins
+    at or before it.  Keys of other types than integers are joined by comparison.
     """
     pieces = flatten(ranges, order)
-    few = pieces.limit(PIECES + 1).count() <= PIECES
-    if few:
-        packed = pieces.agg(F.array_sort(F.collect_list(F.struct("lo", "hi", order))).alias("_r"))
-        hit = F.exists("_r", lambda r: (F.col(key) >= r["lo"]) & (F.col(key) < r["hi"]) & (r[order] > F.col(order)))
-        return entries.crossJoin(F.broadcast(packed)).where(~hit).drop("_r")
-    gone = entries.alias("e").join(pieces.alias("r"), (F.col(f"e.{key}") >= F.col("r.lo")) & (F.col(f"e.{key}") < F.col("r.hi")) & (F.col(f"r.{order}") > F.col(f"e.{order}")), "left_anti")
-    return gone
-
-
-#: Disjoint tombstones sent to every task.
-PIECES = 1000
+    few = pieces.limit(PIECES + 1).collect()
+    kinds = dict(pieces.dtypes)
+    if len(few) <= PIECES:
+        text = json.dumps([{"lo": r.lo, "hi": r.hi, "turn": r[order]} for r in few], default=str)
+        shape = f"array<struct<lo:{kinds['lo']},hi:{kinds['hi']},turn:{kinds[order]}>>"
+        known = F.from_json(F.lit(text), shape)
+        return entries.where(~F.exists(known, lambda r: (F.col(key) >= r["lo"]) & (F.col(key) < r["hi"]) & (r["turn"] > F.col(order))))
+    if kinds["lo"] in ("tinyint", "smallint", "int", "bigint"):
+        low, high = pieces.agg(F.min("lo"), F.max("hi")).first()
+        points = pieces.select(F.lit(0).alias("_all"), F.col("lo").cast("long").alias("_lo"), F.struct("hi", order).alias("_piece"))
+        probes = entries.withColumn("_all", F.lit(0)).withColumn("_key", F.col(key).cast("long"))
+        met = as_of_join(probes, points, "_all", "_key", "_lo", "_piece", max(1, (high - low) // 4096))
+        covered = (F.col(key) < F.col("_piece.hi")) & (F.col(f"_piece.{order}") > F.col(order))
+        return met.where(~F.coalesce(covered, F.lit(False))).select(*entries.columns)
+    return entries.alias("e").join(pieces.alias("r"), (F.col(f"e.{key}") >= F.col("r.lo")) & (F.col(f"e.{key}") < F.col("r.hi")) & (F.col(f"r.{order}") > F.col(f"e.{order}")), "left_anti")
 
 
 def flatten(ranges: DataFrame, order: str = "prio") -> DataFrame:
