@@ -205,7 +205,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     seeded = store.table("seeded", first.select("row", "copies", F.explode(F.arrays_zip("seeds", "times")).alias("x")).select("row", F.col("x.seeds").alias("seed"), (F.col("x.times") * F.col("copies")).alias("n")))
     again = store.table("again", seeded.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed"))
     wanted = store.table("wanted", seeded.join(again, "seed").groupBy("row").agg(F.collect_list("seed").alias("seeds")).join(same.select("row", "copies"), "row"))
+    store.drop("seeded", "again")
     texts = store.table("texts", numbered.select("row", "text").join(wanted, "row"))
+    store.drop("wanted")
     windows = store.table("windows", _candidates(texts, window, gram))
     counted = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.min(F.struct("row", "start")).alias("source"))
     confirmed = store.table("confirmed", counted.where("n > 1").select("h1", "h2", F.col("source.row").alias("source"), F.col("source.start").alias("place")))
@@ -214,8 +216,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     shard = F.pmod(F.xxhash64("source"), shards).alias("shard")
     pieces = confirmed.groupBy("source").agg(F.sort_array(F.collect_list("place")).alias("places")).select("source", "places", shard)
     needs = store.table("needs", windows.select("h1", "h2", "row").join(confirmed, ["h1", "h2"]).select("row", shard).distinct())
+    store.drop("windows")
     parts = store.table("parts", needs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / STREAM).alias("parts")))
     sources = store.table("sources", pieces.join(texts.select(F.col("row").alias("source"), "text"), "source").join(parts, "shard"))
+    store.drop("confirmed")
     none = F.lit(None)
     compiled = sources.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), none.cast("long").alias("row"), "places", "text")
     streamed = needs.join(parts, "shard").select("shard", F.pmod(F.xxhash64("row"), "parts").alias("part"), "row").join(texts.select("row", "text"), "row").select("shard", "part", "row", none.cast("array<int>").alias("places"), "text")
@@ -245,6 +249,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
     dealt = compiled.unionByName(streamed).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("row").asc_nulls_first())
     runs = store.table("runs", dealt.mapInArrow(locate, "row long, starts array<int>, ends array<int>"))
+    store.drop("needs", "parts", "sources")
     per_row = store.table("removed", runs.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")))
 
     def cut(batches):

@@ -50,5 +50,10 @@ class Store:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Delete tables, and let Spark delete the shuffle files that led to them.
+
+        Shuffle files go when the driver collects the plans that made them.
+        """
         for name in names:
             drop(self.spark, *self.paths.pop(name, []))
+        self.spark._jvm.System.gc()
