@@ -36,6 +36,26 @@ def next_key(df: DataFrame, key: str, value: str, width: int) -> DataFrame:
     return ahead.select(key, found[key].alias("next_key"), found["_first"].alias("next_first"))
 
 
+def set_range(df: DataFrame, key: str, value: str, at) -> DataFrame:
+    """The first pair of the first key at or after one."""
+    return df.where(F.col(key) >= F.lit(at)).orderBy(key, value).limit(1)
+
+
+def get_both(df: DataFrame, key: str, value: str, at, what) -> DataFrame:
+    """A pair, if it is there."""
+    return df.where((F.col(key) == F.lit(at)) & (F.col(value) == F.lit(what)))
+
+
+def get_both_range(df: DataFrame, key: str, value: str, at, what) -> DataFrame:
+    """The first pair of a key with a value at or after one."""
+    return df.where((F.col(key) == F.lit(at)) & (F.col(value) >= F.lit(what))).orderBy(value).limit(1)
+
+
+def previous_key(df: DataFrame, key: str, value: str, at) -> DataFrame:
+    """The last pair of the last key before one."""
+    return df.where(F.col(key) < F.lit(at)).orderBy(F.desc(key), F.desc(value)).limit(1)
+
+
 def delete_key(df: DataFrame, key: str, at) -> DataFrame:
     """Without all values of a key."""
     return df.where(~F.coalesce(F.col(key) == F.lit(at), F.lit(False)))

@@ -114,9 +114,9 @@ def kv_get(t):
     return kv.get(t.orders, o_orderkey=4242).select("o_orderkey", "o_totalprice")
 
 
-@query("select k.k as o_orderkey, o.o_totalprice, o.o_orderkey is not null as found from (select c_custkey * 37 as k from customer where c_custkey <= 1000) k left join orders o on o.o_orderkey = k.k")
+@query("select k.k as o_orderkey, o.o_totalprice, o.o_orderkey is not null as found from (select c_custkey * 37 as k from customer) k left join orders o on o.o_orderkey = k.k")
 def multi_get(t):
-    keys = t.customer.where("c_custkey <= 1000").select((F.col("c_custkey") * 37).alias("o_orderkey"))
+    keys = t.customer.select((F.col("c_custkey") * 37).alias("o_orderkey"))
     return kv.multi_get(keys, t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey")
 
 
@@ -192,7 +192,7 @@ both("filter", "select o_orderkey, o_orderstatus, o_totalprice from orders where
 both("filter_date", "select o_orderkey, o_orderdate from orders where o_orderdate > timestamp '1997-06-01 00:00:00' and o_totalprice > 50000")
 both("like_between_in", "select p_partkey, p_name, p_size from part where (p_name like '%a%' and p_size between 5 and 15) or p_brand in ('Brand#11', 'Brand#23')")
 both("null_tests", "select o_orderkey, coalesce(x, -1.0) as x, x is null as missing from (select o_orderkey, case when o_orderkey % 10 = 0 then null else o_totalprice end as x from orders) where x is null or x > 200000")
-both("expressions", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 2 as twice, nullif(l_linenumber, 3) as not_three, case when l_discount > 0.05 then 'high' when l_discount > 0.02 then 'mid' else 'low' end as band, cast(l_quantity as int) as whole, abs(l_linenumber - 4) as far, upper(l_returnflag) || lower(l_linestatus) as flags from lineitem where l_orderkey < 4000")
+both("expressions", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 2 as twice, nullif(l_linenumber, 3) as not_three, case when l_discount > 0.05 then 'high' when l_discount > 0.02 then 'mid' else 'low' end as band, cast(l_quantity as int) as whole, abs(l_linenumber - 4) as far, upper(l_returnflag) || lower(l_linestatus) as flags from lineitem")
 
 # ---- joins ------------------------------------------------------------------------------
 
@@ -471,6 +471,21 @@ def dup_next_nodup(t):
     return multimap.next_key(pairs(t), "k", "v", 1024)
 
 
+@query(f"select k, v from ({_PAIRS}) p where k >= 500 order by k, v limit 1")
+def dup_set_range(t):
+    return multimap.set_range(pairs(t), "k", "v", 500)
+
+
+@query(f"select k, v from ({_PAIRS}) p where k = 9 and v >= 2 order by v limit 1")
+def dup_get_both_range(t):
+    return multimap.get_both_range(pairs(t), "k", "v", 9, 2)
+
+
+@query(f"select k, v from ({_PAIRS}) p where k < 500 order by k desc, v desc limit 1")
+def dup_prev_nodup(t):
+    return multimap.previous_key(pairs(t), "k", "v", 500)
+
+
 @query(f"select k, v from ({_PAIRS}) p where k <> 7 and not (k = 9 and v = 1)")
 def dup_delete(t):
     return multimap.delete_pair(multimap.delete_key(pairs(t), "k", 7), "k", "v", 9, 1)

@@ -6,6 +6,8 @@ from pyspark.sql.types import StructType
 
 from tessel.operators.dml import ConstraintError
 from tessel.sources.database import ConflictError, Database, open_database
+from tessel.sources.kvstore import KeyValueStore
+from tessel.sources.types import SPARK_TYPES, schema, spark_type
 from tessel.streaming.ingest import upsert_stream, windowed_counts
 
 
@@ -138,3 +140,25 @@ def test_windowed_counts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sum(r.n for r in spark.table("counted").collect()) == 5
+
+
+def test_key_value_store(spark, db):
+    store = KeyValueStore(db)
+    store.write([("put", f"key/{i:03}", str(i)) for i in range(40)] + [("range", "key/010", "key/020"), ("put", "key/015", "again"), ("del", "key/000")])
+    old = store.snapshot()
+    store.delete_range("key/030", "key/999")
+    assert old.count() == 30 and store.count() == 20 and store.count("key/010", "key/020") == 1
+    assert store.get("key/015") == "again" and store.get("key/010") is None
+    assert store.seek("key/016").first().key == "key/020" and store.seek_for_prev("key/016").first().key == "key/015"
+    assert (store.first().first().key, store.last().first().key) == ("key/001", "key/029")
+    keys = spark.createDataFrame([("key/001",), ("no",)], "key string")
+    assert rows(store.multi_get(keys)) == [("key/001", "1", True), ("no", None, False)]
+
+
+def test_types(spark, db):
+    assert len(SPARK_TYPES) == 21
+    assert spark_type("decimal(10, 2)").precision == 10 and spark_type("varchar(15)").simpleString() == "string"
+    with pytest.raises(TypeError):
+        spark_type("POINT")
+    db.create_table("t", schema({"id": "INTEGER", "u": "UBIGINT", "d": "DATE", "i": "INTERVAL"}))
+    assert [k for _, k in db.table("t").dtypes] == ["int", "decimal(20,0)", "date", "struct<months:int,days:int,micros:bigint>"]
