@@ -211,6 +211,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     windows = store.table("windows", _candidates(texts, window, gram))
     counted = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.min(F.struct("row", "start")).alias("source"))
     confirmed = store.table("confirmed", counted.where("n > 1").select("h1", "h2", F.col("source.row").alias("source"), F.col("source.start").alias("place")))
+    store.drop()  # the counts' shuffle files are the largest of all
 
     shards = F.ceil(F.lit(max(1, same.count())) / SOURCES)
     shard = F.pmod(F.xxhash64("source"), shards).alias("shard")
