@@ -11,7 +11,9 @@ Texts with equal sets are put together first, by a 128-bit sum over the set.  Th
 1. every class takes the smallest id among the classes that share a band with it, and
    that one pair is checked: large groups become stars, in linear work;
 2. only in bands that still hold several components, classes of different components are
-   compared by their bitmaps, in blocks of bounded size; what passes is confirmed too.
+   compared by their bitmaps, in blocks of bounded size.  Classes with a partner in reach
+   meet again with their texts, in the same blocks, and are confirmed from the nearest
+   pair on; a block gives the links of a forest.
 
 Pairs inside one component need no check, so no link between components is lost, and the
 pairs of a group are never listed.
@@ -32,12 +34,12 @@ from . import text as tx
 from .graph import components
 from .store import Store
 
-SAMPLES, BANDS, ROWS, BITS = 128, 25, 5, 512
+SAMPLES, BANDS, ROWS, BITS = 512, 25, 5, 2048
 #: A candidate is dropped when its estimate lies more than this below the threshold:
 #: above five standard deviations of the estimate at the threshold.
-MARGIN = 0.2
+MARGIN = 0.085
 #: Partners of one pivot, and classes of one band, that are handled together.
-STAR, BLOCK = 16, 1000
+STAR, BLOCK = 16, 128
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,7 +118,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
                 counts = np.diff(limits)
                 full = np.flatnonzero(counts > 0)
                 if len(full):
-                    first, second, band, sketch = sign(sets, np.append(limits[:-1][full], len(sets)))
+                    edges = np.append(limits[:-1][full], len(sets))
+                    signed = [sign(sets[edges[i] : edges[min(i + 1000, len(full))]], edges[i : min(i + 1000, len(full)) + 1] - edges[i]) for i in range(0, len(full), 1000)]
+                    first, second, band, sketch = (np.concatenate(x) for x in zip(*signed, strict=True))
                 at = np.full(hi - lo, -1)
                 at[full] = np.arange(len(full))
                 take = pa.array(at, mask=at < 0)
@@ -165,43 +169,80 @@ def _confirm(store: Store, pairs: DataFrame, texts: DataFrame, size: int, percen
     return pivots.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
-def _near(known: DataFrame, sketches: DataFrame, store: Store, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of classes of one band but different components whose bitmaps are near.
+def _reach(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (x, y) of one group with their estimates, nearest first.
 
-    known: band, id, component.  In each band that holds several components, the classes
-    outside its largest one are dealt to blocks of BLOCK, and so is the largest; each
-    block of the former meets each other block in a group of its own.  Classes of the
-    largest component don't meet each other.  best: only the nearest class of each other
-    component in each group.
+    Rows of different components whose bitmaps are near, in the first band they share.
+    """
+    ids, comp, block = (np.asarray(table[c].combine_chunks()) for c in ("id", "component", "own"))
+    bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
+    bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(len(ids), BANDS)
+    i, j, k = (table[c][0].as_py() for c in ("i", "j", "k"))
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    xs, ys, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for x in left.tolist():
+        other = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) | (i != j))]
+        got = estimate(np.bitwise_count(bits[other] ^ bits[x]).sum(axis=1).astype(float))
+        ok = got >= percent / 100 - MARGIN
+        other, got = other[ok], got[ok]
+        first = ~(bands[other, :k] == bands[x, :k]).any(axis=1)
+        xs.append(np.full(first.sum(), x)), ys.append(other[first]), near.append(got[first])
+    x, y, got = np.concatenate(xs), np.concatenate(ys), np.concatenate(near)
+    by = np.argsort(-got, kind="stable")
+    return x[by], y[by], got[by]
+
+
+def _rest(known: DataFrame, own: DataFrame, texts: DataFrame, store: Store, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one band but different components.
+
+    known: band, k, id, component.  In each band that holds several components, the
+    classes outside its largest one are dealt to blocks of BLOCK, and so is the largest;
+    each block of the former meets each other block in a group of its own.  Classes of
+    the largest component don't meet each other.
     """
     sizes = known.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     bands = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
     bands = bands.select("band", F.col("big.component").alias("big"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).cast("int").alias("s"), F.ceil(F.col("big.n") / BLOCK).cast("int").alias("g"))
-    rows = store.table("open", known.join(store.table("bands", bands), "band"))
+    rows = store.table("open", known.join(store.table("bands_open", bands), "band"))
     is_big = F.col("component") == F.col("big")
-    rows = rows.join(sketches, "id").withColumn("own", F.when(is_big, F.col("s") + F.pmod(F.xxhash64("id"), "g")).otherwise(F.pmod(F.xxhash64("id"), "s")).cast("int"))
+    rows = rows.join(own, "id").withColumn("own", F.when(is_big, F.col("s") + F.pmod(F.xxhash64("id"), "g")).otherwise(F.pmod(F.xxhash64("id"), "s")).cast("int"))
     each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_big, F.col("s")).otherwise(F.col("s") + F.col("g")) - 1)))
-    dealt = each.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch")
-    least = percent / 100 - MARGIN
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, comp, block = (np.asarray(table[c].combine_chunks()) for c in ("id", "component", "own"))
-        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    dealt = each.select("band", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch", "bands")
+
+    def narrow(table: pa.Table) -> pa.Table:
+        x, y, _ = _reach(table, percent)
+        return table.take(pa.array(np.unique(np.concatenate([x, y]))))
+
+    def confirm(table: pa.Table) -> pa.Table:
+        x, y, _ = _reach(table, percent)
+        sets = []
+        for _, _, block in tx.blocks(table["text"].combine_chunks(), tx.NOT_SPACE, True):
+            found, limits = shingle_sets(block, size)
+            sets += [found[lo:hi] for lo, hi in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)]
+        ids = table["id"].to_pylist()
+        parent = {c: c for c in table["component"].to_pylist()}
+        comp = table["component"].to_pylist()
+
+        def top(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
         a, b = [], []
-        for x in left.tolist():
-            near = estimate(np.bitwise_count(bits[right] ^ bits[x]).sum(axis=1).astype(float))
-            ok = (near >= least) & (comp[right] != comp[x]) & ((ids[right] > ids[x]) | (i != j))
-            hits, near = right[ok], near[ok]
-            if best and len(hits):
-                by = np.lexsort((-near, comp[hits]))
-                hits = hits[by][np.unique(comp[hits][by], return_index=True)[1]]
-            a += np.minimum(ids[x], ids[hits]).tolist()
-            b += np.maximum(ids[x], ids[hits]).tolist()
+        for p, q in zip(x.tolist(), y.tolist(), strict=True):
+            if top(comp[p]) == top(comp[q]):
+                continue
+            both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+            if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
+                parent[top(comp[p])] = top(comp[q])
+                a.append(ids[p]), b.append(ids[q])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    near = store.table("near", dealt.groupBy("band", "k", "i", "j").applyInArrow(narrow, dealt.schema))
+    wanted = store.table("wanted", near.select("id").distinct())
+    texts = store.table("texts", texts.join(wanted, "id", "left_semi"))
+    return near.join(texts, "id").groupBy("band", "k", "i", "j").applyInArrow(confirm, "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -219,22 +260,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     classed = store.table("classes", held.groupBy("f1", "f2").agg(F.min("id").alias("id")))
     own = held.select("id", "f1", "f2", "bands", "sketch").join(classed, ["id", "f1", "f2"], "left_semi")
     own = store.table("own", own.select("id", "bands", "sketch"))
-    banded = own.select("id", F.posexplode("bands").alias("k", "v")).select("id", F.xxhash64("k", "v").alias("band"))
+    banded = own.select("id", F.posexplode("bands").alias("k", "v")).select("id", "k", F.xxhash64("k", "v").alias("band"))
     full = store.table("full", banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).where("n > 1"))
-    members = store.table("members", banded.join(full, "band").select("band", "id", "a"))
+    members = store.table("members", banded.join(full, "band").select("band", "k", "id", "a"))
     tried = store.table("tried", members.where("a < id").groupBy("id").agg(F.min("a").alias("a")).select("a", F.col("id").alias("b")))
     links = store.table("links", _confirm(store, tried, texts, size, percent))
     found = store.table("found", components(spark, links, "minhash-links"))
-    for best in (True, True, False):
-        known = store.table("known", members.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")))
-        near = _near(known, own.select("id", "sketch"), store, percent, best)
-        near = store.table("near", near.join(tried, ["a", "b"], "left_anti"))
-        if near.isEmpty():
-            continue
-        more = store.table("links", _confirm(store, near, texts, size, percent))
-        tried, links = tried.unionByName(near), links.unionByName(more)
-        if not more.isEmpty():
-            found = store.table("found", components(spark, links, "minhash-links"))
+    known = store.table("known", members.join(found, "id", "left").select("band", "k", "id", F.coalesce("component", "id").alias("component")))
+    more = store.table("links", _rest(known, own, texts, store, size, percent))
+    if not more.isEmpty():
+        found = store.table("found", components(spark, links.unionByName(more), "minhash-links"))
     whole = classed.join(found, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("c"))
     whole = store.table("whole", whole)
     out = signed.select("id", "n", "f1", "f2").join(whole, ["f1", "f2"], "left")
