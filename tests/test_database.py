@@ -162,3 +162,13 @@ def test_types(spark, db):
         spark_type("POINT")
     db.create_table("t", schema({"id": "INTEGER", "u": "UBIGINT", "d": "DATE", "i": "INTERVAL"}))
     assert [k for _, k in db.table("t").dtypes] == ["int", "decimal(20,0)", "date", "struct<months:int,days:int,micros:bigint>"]
+
+
+def test_command_line(spark, db):
+    from tessel.__main__ import main
+
+    db.create_table("t", users(spark, (1, "a", 1), (2, "b", 1)), primary_key=["id"])
+    assert main(["info", db.path], spark)["tables"] == {"t": 2}
+    assert main(["verify", db.path], spark)["faults"] == {}
+    assert main(["compact", db.path], spark)["version"] == db.version + 1
+    assert main(["vacuum", db.path], spark)["deleted"] == 1
