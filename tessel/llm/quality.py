@@ -26,6 +26,8 @@ from .store import Store
 
 FIT_ROWS = 4000
 SHAPES, BUCKETS, SIZE, NEAR, HIDDEN = 512, 3584, 32, 2, 32
+#: Bytes of text in a block, and words whose vectors are held at once.
+BLOCK_BYTES, SLICE = 1 << 19, 1 << 15
 
 _rng = np.random.default_rng(4711)
 INDEX = ((_rng.random((SHAPES + BUCKETS, SIZE)) < 0.25) * _rng.choice([-1.0, 1.0], (SHAPES + BUCKETS, SIZE))).astype(np.float32)
@@ -66,21 +68,25 @@ def contexts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches):
         total = np.zeros((SHAPES + BUCKETS, SIZE))
         for batch in batches:
-            for _, _, block in tx.blocks(batch.column(0), tx.NOT_SPACE):
+            for _, _, block in tx.blocks(batch.column(0), tx.NOT_SPACE, max_bytes=BLOCK_BYTES):
                 shape, bucket, rows = describe(block)
                 if not len(rows):
                     continue
-                own = INDEX[shape] + INDEX[bucket]
-                near = np.zeros_like(own)
-                for k in range(1, NEAR + 1):
-                    if len(rows) > k:
-                        inside = (rows[k:] == rows[:-k])[:, None]
-                        near[:-k] += own[k:] * inside
-                        near[k:] += own[:-k] * inside
-                for name in (shape, bucket):
-                    by = np.argsort(name, kind="stable")
-                    ids, at = np.unique(name[by], return_index=True)
-                    total[ids] += np.add.reduceat(near[by], at, axis=0)
+                for lo in range(0, len(rows), SLICE):
+                    hi = min(lo + SLICE, len(rows))
+                    a, b = max(0, lo - NEAR), min(len(rows), hi + NEAR)
+                    own, at = INDEX[shape[a:b]] + INDEX[bucket[a:b]], rows[a:b]
+                    near = np.zeros_like(own)
+                    for k in range(1, NEAR + 1):
+                        if len(at) > k:
+                            inside = (at[k:] == at[:-k])[:, None]
+                            near[:-k] += own[k:] * inside
+                            near[k:] += own[:-k] * inside
+                    near = near[lo - a : hi - a]
+                    for name in (shape[lo:hi], bucket[lo:hi]):
+                        by = np.argsort(name, kind="stable")
+                        ids, first = np.unique(name[by], return_index=True)
+                        total[ids] += np.add.reduceat(near[by], first, axis=0)
         met = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(total[met, i]) for i in range(SIZE))], names=["name", *(f"x{i}" for i in range(SIZE))])
 
@@ -96,12 +102,14 @@ def pool(block: tx.Block, vectors: np.ndarray) -> np.ndarray:
     """One row of 5 * SIZE numbers for each document."""
     shape, bucket, rows = describe(block)
     out = np.zeros((len(block), 5 * SIZE))
-    if len(rows):
-        full = np.flatnonzero(np.diff(block.first))
-        at, n = block.first[:-1][full], np.diff(block.first)[full][:, None]
-        parts = [np.add.reduceat(x, at, axis=0) / n for x in (vectors[bucket], vectors[shape], INDEX[shape].astype(np.float64), INDEX[bucket].astype(np.float64))]
-        squares = np.add.reduceat(vectors[bucket] ** 2, at, axis=0) / n
-        out[full] = np.hstack([*parts, np.sqrt(np.maximum(squares - parts[0] ** 2, 0))])
+    for lo in range(0, len(rows), SLICE):
+        at, k, v = rows[lo : lo + SLICE], shape[lo : lo + SLICE], vectors[bucket[lo : lo + SLICE]]
+        full, first = np.unique(at, return_index=True)
+        for i, x in enumerate((v, vectors[k], INDEX[k], INDEX[bucket[lo : lo + SLICE]], v * v)):
+            out[full, i * SIZE : (i + 1) * SIZE] += np.add.reduceat(x, first, axis=0, dtype=np.float64)
+    out /= np.maximum(np.diff(block.first), 1)[:, None]
+    mean, squares = out[:, :SIZE], out[:, 4 * SIZE :]
+    out[:, 4 * SIZE :] = np.sqrt(np.maximum(squares - mean**2, 0))
     return out
 
 
@@ -156,7 +164,7 @@ def _pooled(rows: DataFrame, keep: list[str], vectors: np.ndarray, finish) -> tu
 
     def run(batches):
         for batch in batches:
-            for lo, hi, block in tx.blocks(batch.column("text"), tx.NOT_SPACE):
+            for lo, hi, block in tx.blocks(batch.column("text"), tx.NOT_SPACE, max_bytes=BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in keep), finish(pool(block, sent.value))], names=[*keep, "out"])
 
     return run
