@@ -6,11 +6,15 @@ sides (spill), so that near vectors meet in a leaf of some tree.  Directions com
 hash of tree and node; only the thresholds are kept.  The sample fits the thresholds
 alone: all rows are indexed, and all pairs within a leaf are compared.
 
+A split inside a group of near vectors would part its links, however it lies.  In the first
+WHOLE trees, splits go where they part few of the sample's links, and a label whose links
+are dense in a node and would be parted by every split stays there: the node is its leaf.
+
 Vectors with equal directions cosine needs no search for: equal vectors of one label are
 put together first and stand as one with their count.  Pairs at or above the threshold are
 counted in one leaf only, the first that both vectors share, so no pair is listed; a leaf
 emits counts for its vectors and the links of a spanning forest.  Leaves larger than BLOCK
-are compared block by block in tasks of their own.
+are compared block by block in tasks of their own, with larger blocks in larger leaves.
 
 Defined results: rows with a null label, a null or zero vector, or null, NaN or infinite
 components are linked with nothing; so are rows with a null id, whose component is null.
@@ -32,8 +36,14 @@ from .store import Store
 #: a node's rows next to its split that go to both sides.  Labels are dealt to FORESTS
 #: forests by a hash, so that the sample and the thresholds stay bounded.
 TREES, SAMPLE, LEAF, SPILL, FORESTS = 10, 100_000, 200, 0.08, 64
-#: Vectors of one leaf that are compared with one another in one task, and as one matrix.
-BLOCK = 512
+#: Trees that keep dense groups whole, the share of a label's pairs in a node that are links
+#: from which it is dense, the share of them that a split may part, and the places of splits.
+WHOLE, DENSE, PARTED, PLACES = 3, 1 / 64, 0.05, np.linspace(0.2, 0.8, 13)
+#: Rows of a node whose pairs are looked at, and links below which nothing is told from them.
+LOOK, EVIDENCE = 256, 16
+#: Vectors of one leaf that are compared with one another in one task, and as one matrix;
+#: a leaf of more than PARTS blocks gets larger blocks, up to MOST vectors.
+BLOCK, PARTS, MOST = 512, 12, 16_384
 
 
 def _direction(tree: int, node: int, size: int) -> np.ndarray:
@@ -41,37 +51,72 @@ def _direction(tree: int, node: int, size: int) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
-def grow(sample: np.ndarray, tree: int, leaf: int) -> dict[int, tuple[float, float]]:
-    """Threshold and half-width of the spill of each inner node; children of k: 2k+1, 2k+2."""
-    nodes = {}
-    work = [(0, np.arange(len(sample)))]
+def _links(sample: np.ndarray, labels: np.ndarray, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one label with a cosine of threshold or more among at most LOOK of rows."""
+    some = rows if len(rows) <= LOOK else rows[np.linspace(0, len(rows) - 1, LOOK).astype(int)]
+    near = np.triu((sample[some] @ sample[some].T >= threshold) & (labels[some][:, None] == labels[some][None, :]), 1)
+    x, y = np.nonzero(near)
+    return some[x], some[y]
+
+
+def _parted(on: np.ndarray, x: np.ndarray, y: np.ndarray, places: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Share of the pairs that no child of a split at each place holds together."""
+    low, high = np.minimum(on[x], on[y])[:, None], np.maximum(on[x], on[y])[:, None]
+    return ((low < places - wide) & (high >= places + wide)).mean(axis=0)
+
+
+def grow(sample: np.ndarray, labels: np.ndarray, tree: int, leaf: int, threshold: float) -> tuple[dict[int, tuple[float, float]], dict[int, set[int]]]:
+    """Threshold and half-width of the spill of each inner node; children of k: 2k+1, 2k+2.
+    Besides, the labels (by their place) for which an inner node is a leaf.
+    """
+    nodes: dict[int, tuple[float, float]] = {}
+    stays: dict[int, set[int]] = {}
+    whole = tree < WHOLE
+    on = np.zeros(len(sample))
+    work = [(0, np.random.default_rng([tree, 78]).permutation(len(sample)))]
     while work:
         node, rows = work.pop()
         if len(rows) <= leaf or node > 1 << 40:
             continue
-        on = sample[rows] @ _direction(tree, node, sample.shape[1])
-        middle = float(np.median(on))
-        if not (on < middle).any() or not (on >= middle).any():
-            continue
-        nodes[node] = (middle, float(np.quantile(np.abs(on - middle), SPILL)))
-        work += [(2 * node + 1, rows[on < middle]), (2 * node + 2, rows[on >= middle])]
-    return nodes
-
-
-def leaves(vectors: np.ndarray, tree: int, nodes: dict[int, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+        on[rows] = sample[rows] @ _direction(tree, node, sample.shape[1])
+        if whole:
+            places = np.quantile(on[rows], PLACES)
+            wide = np.array([np.quantile(np.abs(on[rows] - p), SPILL) for p in places])
+            for label in np.flatnonzero(np.bincount(labels[rows]) > leaf).tolist():
+                own = rows[labels[rows] == label]
+                x, y = _links(sample, labels, own, threshold)
+                looked = min(len(own), LOOK)
+                if len(x) >= max(EVIDENCE, DENSE * looked * (looked - 1) / 2) and _parted(on, x, y, places, wide).min() > PARTED:
+                    stays.setdefault(node, set()).add(label)
+            if node in stays:
+                rows = rows[~np.isin(labels[rows], list(stays[node]))]
+        if len(rows) > leaf:
+            middle = float(np.median(on[rows]))
+            if whole and len((pairs := _links(sample, labels, rows, threshold))[0]) >= EVIDENCE:
+                places = np.quantile(on[rows], PLACES)
+                wide = np.array([np.quantile(np.abs(on[rows] - p), SPILL) for p in places])
+                middle = float(places[np.argmin(_parted(on, *pairs, places, wide) + 0.1 * np.abs(PLACES - 0.5))])
+            if (on[rows] < middle).any() and (on[rows] >= middle).any():
+                nodes[node] = (middle, float(np.quantile(np.abs(on[rows] - middle), SPILL)))
+                work += [(2 * node + 1, rows[on[rows] < middle]), (2 * node + 2, rows[on[rows] >= middle])]
+    return nodes, stays
+
+
+def leaves(vectors: np.ndarray, labels: np.ndarray, tree: int, nodes: dict[int, tuple[float, float]], stays: dict[int, set[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) for every leaf that a row falls in."""
     rows, at, done = [], [], [(0, np.arange(len(vectors)))]
     while done:
         node, own = done.pop()
         if not len(own):
             continue
-        if node not in nodes:
-            rows.append(own)
-            at.append(np.full(len(own), node))
-            continue
-        middle, wide = nodes[node]
-        on = vectors[own] @ _direction(tree, node, vectors.shape[1])
-        done += [(2 * node + 1, own[on < middle + wide]), (2 * node + 2, own[on >= middle - wide])]
+        ends = np.isin(labels[own], list(stays[node])) if node in stays and node in nodes else np.full(len(own), node not in nodes)
+        rows.append(own[ends])
+        at.append(np.full(len(rows[-1]), node))
+        own = own[~ends]
+        if len(own):
+            middle, wide = nodes[node]
+            on = vectors[own] @ _direction(tree, node, vectors.shape[1])
+            done += [(2 * node + 1, own[on < middle + wide]), (2 * node + 2, own[on >= middle - wide])]
     return np.concatenate(rows), np.concatenate(at)
 
 
@@ -86,8 +131,8 @@ def _usable(vec: str) -> F.Column:
     return F.coalesce(~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _fit(rows: DataFrame, leaf: int, trees: int) -> dict:
-    """{(forest, size): nodes of each tree}, from about SAMPLE rows; vectors have few sizes."""
+def _fit(rows: DataFrame, leaf: int, trees: int, threshold: float) -> dict:
+    """{(forest, size): (place of each label, nodes and stays of each tree)}, from about SAMPLE rows; vectors have few sizes."""
     kinds = {(r.forest, r.size): r for r in rows.groupBy("forest", "size", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("forest", "size").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()}
     if not kinds:
         return {}
@@ -95,14 +140,16 @@ def _fit(rows: DataFrame, leaf: int, trees: int) -> dict:
     share = F.create_map(*[x for k, r in kinds.items() for x in (F.lit(f"{k[0]}:{k[1]}"), F.lit(min(1.0, each / r.n)))])
     draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     samples: dict[tuple, list] = {}
-    for r in rows.where(draw < share[F.concat_ws(":", "forest", "size")]).select("forest", "size", "v").toLocalIterator():
-        samples.setdefault((r[0], r[1]), []).append(np.array(r[2], dtype=np.float32))
+    for r in rows.where(draw < share[F.concat_ws(":", "forest", "size")]).select("forest", "size", "v", "label").toLocalIterator():
+        samples.setdefault((r[0], r[1]), []).append((np.array(r[2], dtype=np.float32), r[3]))
     model = {}
     for kind, own in sorted(samples.items()):
-        sample = np.array(own, dtype=np.float64)
+        sample = np.array([v for v, _ in own], dtype=np.float64)
+        names = {label: k for k, label in enumerate(dict.fromkeys(label for _, label in own))}
+        labels = np.array([names[label] for _, label in own])
         sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         # the leaves of the sample shrink with the share, so that those of all rows keep their size
-        model[kind] = [grow(sample, t, max(4, int(leaf * len(sample) / kinds[kind].most))) for t in range(trees)]
+        model[kind] = (names, [grow(sample, labels, t, max(4, int(leaf * len(sample) / kinds[kind].most)), threshold) for t in range(trees)])
     return model
 
 
@@ -124,8 +171,10 @@ def _index(rows: DataFrame, model: dict) -> DataFrame:
                 own = [i for i, k in enumerate(kinds) if k == kind]
                 m = _matrix(batch.column("v").take(pa.array(own)), kind[1])
                 m /= np.linalg.norm(m, axis=1, keepdims=True)
-                for tree, nodes in enumerate(sent.value.get(kind, [])):
-                    for r, leaf in zip(*(x.tolist() for x in leaves(m, tree, nodes)), strict=True):
+                names, forest = sent.value.get(kind, ({}, []))
+                labels = np.array([names.get(k, -1) for k in batch.column("label").take(pa.array(own)).to_pylist()])
+                for tree, (nodes, stays) in enumerate(forest):
+                    for r, leaf in zip(*(x.tolist() for x in leaves(m, labels, tree, nodes, stays)), strict=True):
                         found[own[r]].append((tree << 48) | leaf)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "n", "label", "size", "v")), pa.array([sorted(x) for x in found], pa.list_(pa.int64()))], names=["id", "n", "label", "size", "v", "leaves"])
 
@@ -136,7 +185,7 @@ def _index(rows: DataFrame, model: dict) -> DataFrame:
 def _compare(indexed: DataFrame, store: Store, threshold: float) -> DataFrame:
     """Rows of two kinds from every leaf: links of a forest (a, b), and counts (a, n)."""
     apart = indexed.select("id", "label", F.explode("leaves").alias("leaf")).select("id", F.xxhash64("label", "leaf").alias("group"), "leaf")
-    large = store.table("large", apart.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1"))
+    large = store.table("large", apart.groupBy("group").agg(F.count(F.lit(1)).alias("rows")).select("group", F.ceil(F.col("rows") / F.least(F.greatest(F.ceil(F.col("rows") / PARTS), F.lit(BLOCK)), F.lit(MOST))).cast("int").alias("parts")).where("parts > 1"))
     rows = indexed.select("id", "n", "label", "size", "v", "leaves", F.explode("leaves").alias("leaf")).withColumn("group", F.xxhash64("label", "leaf"))
     rows = rows.join(large, "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -148,25 +197,27 @@ def _compare(indexed: DataFrame, store: Store, threshold: float) -> DataFrame:
         m = _matrix(table["v"], table["size"][0].as_py())
         leaf, i, j = (table[c][0].as_py() for c in ("leaf", "i", "j"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        near = cosine(m[left], m[right]) >= threshold
-        x, y = np.nonzero(near)
-        x, y = left[x], right[y]
-        keep = x < y if i == j else np.ones(len(x), dtype=bool)
-        x, y = x[keep], y[keep]
-        if len(x):
-            # earlier leaves of the two decide whether this leaf is the first that they share
-            lists = table["leaves"].combine_chunks()
-            values, size = np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))
-            place = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
-            early = np.full((len(ids), int(size.max())), -1, dtype=np.int64)
-            early[np.repeat(np.arange(len(ids)), size), place] = np.where(values < leaf, values, -1)
-            shared = np.zeros(len(x), dtype=bool)
-            for lo in range(0, len(x), 1 << 13):
-                some = slice(lo, lo + (1 << 13))
-                p, q = early[x[some]], early[y[some]]
-                shared[some] = ((p[:, :, None] == q[:, None, :]) & (p[:, :, None] >= 0)).any(axis=(1, 2))
-            x, y = x[~shared], y[~shared]
-        total = np.bincount(x, weights=counts[y], minlength=len(ids)) + np.bincount(y, weights=counts[x], minlength=len(ids))
+        # earlier leaves of two vectors decide whether this leaf is the first that they share
+        lists = table["leaves"].combine_chunks()
+        values, size = np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))
+        owner, sooner = np.repeat(np.arange(len(ids)), size), values < leaf
+        owner, values = owner[sooner], values[sooner]
+        first = np.searchsorted(owner, np.arange(len(ids) + 1))
+
+        def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            own, other = (np.concatenate([values[first[k] : first[k + 1]] for k in side.tolist()]) for side in (x, y))
+            both = np.intersect1d(own, other)
+            marks = []
+            for side, held in ((x, own), (y, other)):
+                mark = np.zeros((len(side), len(both)), dtype=np.float32)
+                if len(both):
+                    at = np.minimum(np.searchsorted(both, held), len(both) - 1)
+                    known = both[at] == held
+                    mark[np.repeat(np.arange(len(side)), first[side + 1] - first[side])[known], at[known]] = 1
+                marks.append(mark)
+            return marks[0] @ marks[1].T > 0
+
+        total = np.zeros(len(ids))
         parent = np.arange(len(ids))
         a, b = [], []
 
@@ -176,12 +227,30 @@ def _compare(indexed: DataFrame, store: Store, threshold: float) -> DataFrame:
                 k = parent[k]
             return k
 
-        for p, q in zip(x.tolist(), y.tolist(), strict=True):
-            p, q = top(p), top(q)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                a.append(ids[min(p, q)])
-                b.append(ids[max(p, q)])
+        for lo in range(0, len(left), BLOCK):
+            for at in range(lo if i == j else 0, len(right), BLOCK):
+                x, y = left[lo : lo + BLOCK], right[at : at + BLOCK]
+                near = (cosine(m[x], m[y]) >= threshold) & (x[:, None] < y[None, :] if i == j else True)
+                p, q = near.any(axis=1), near.any(axis=0)
+                if not p.any():
+                    continue
+                x, y, near = x[p], y[q], near[p][:, q]
+                near &= ~shared(x, y)
+                total[x] += near @ counts[y].astype(np.float64)
+                total[y] += counts[x].astype(np.float64) @ near
+                while True:
+                    # a link of each vector with another component, until none is left
+                    top_x, top_y = (np.array([top(k) for k in side.tolist()], dtype=np.int64) for side in (x, y))
+                    apart = near & (top_x[:, None] != top_y[None, :])
+                    p, q = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
+                    if not len(p):
+                        break
+                    for k, n in [*zip(x[p].tolist(), y[apart[p].argmax(axis=1)].tolist(), strict=True), *zip(x[apart[:, q].argmax(axis=0)].tolist(), y[q].tolist(), strict=True)]:
+                        k, n = top(k), top(n)
+                        if k != n:
+                            parent[max(k, n)] = min(k, n)
+                            a.append(ids[min(k, n)])
+                            b.append(ids[max(k, n)])
         some = np.flatnonzero(total)
         return pa.table({"a": pa.array(np.concatenate([np.array(a, dtype=np.int64), ids[some]])), "b": pa.array([*map(int, b), *[None] * len(some)], pa.int64()), "n": pa.array([*[None] * len(a), *total[some].astype(np.int64).tolist()], pa.int64())})
 
@@ -208,7 +277,7 @@ def classes(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     once = store.table("once", usable.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
     single = usable.join(once, ["key", "id"]).select("key", "id", "n", "label", "v").dropDuplicates(["key"])
     single = store.table("single", single.withColumn("size", F.size("v")).withColumn("forest", F.pmod(F.xxhash64("label"), F.lit(FORESTS))))
-    indexed = store.table("indexed", _index(single, _fit(single, leaf, trees)))
+    indexed = store.table("indexed", _index(single, _fit(single, leaf, trees, threshold)))
     found = store.table("pairs", _compare(indexed, store, threshold))
     counted = store.table("counts", found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links")))
     reached = components(spark, found.where("b is not null").select("a", "b"), "vectors-links")

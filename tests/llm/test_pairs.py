@@ -178,6 +178,20 @@ def test_vectors(spark):
     assert vectors.report(table.limit(0)).count() == 0
 
 
+def test_vectors_keep_a_dense_group_whole(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    group = unit(unit(rng.standard_normal(64)) + 0.224 * unit(rng.standard_normal((4000, 64))))
+    m = np.concatenate([group, unit(rng.standard_normal((8000, 64)))]).astype(np.float32)
+    table = spark.createDataFrame([(i, v, 1) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<float>, label int")
+    own = m[:4000].astype(np.float64)
+    count = (vectors.cosine(own, own) >= 0.93).sum(axis=1) - 1
+    found = {r.vec_id: r for r in vectors.report(table).collect()}
+    got = np.array([found[i].n_links for i in range(4000)])
+    assert len(found) == 12000 and count.mean() > 3900
+    assert (got <= count).all() and got.sum() >= 0.95 * count.sum()
+
+
 def test_span_hashes_tell_words_apart():
     raw = np.frombuffer(b"abc abd abc  a", dtype=np.uint8)
     block = tx.Block(raw, np.array([0, 7, 7, 14]), tx.NOT_SPACE, False)
