@@ -4,7 +4,8 @@ The fixed patterns give the base spans.  Besides, a run of MIN_CHARS or more cha
 of [A-Za-z0-9+/_=-] is a span of kind token when a public vocabulary needs many tokens
 for it: fewer than MAX_RATIO characters for each token, which written words don't reach.
 Known digests (runs of hexadecimal digits of the lengths of common hashes), UUIDs, names
-made of words (letters, or words joined by _ - /) and numbers are excluded first.
+made of words (words of the vocabulary, alone or joined by _ - /) and numbers are excluded
+first.
 
 Defined results: null or empty text has no spans and the digest of the empty string;
 every row gives a row, repeated rows and null ids too.
@@ -30,6 +31,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 #: Thresholds of the token-efficiency test.
 MIN_CHARS, MAX_RATIO = 20, 2.0
+#: Letters for each token that the words of a name have at least, in small letters.
+MIN_WORDS_RATIO = 2.5
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 #: Lengths in hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = frozenset({32, 40, 56, 64, 96, 128})
@@ -37,6 +40,7 @@ _HEX_ONLY = re.compile(r"[0-9A-Fa-f]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _NAME = re.compile(r"([A-Z]?[a-z]+|[A-Z]+)([_/=+-]*([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[_/=+-]*")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_DIGITS = re.compile(r"[0-9]+")
 
 _encodings: dict[str, object] = {}
 
@@ -60,16 +64,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def excluded(run: str) -> bool:
+def excluded(run: str, encoding) -> bool:
     """Known digests and identifiers."""
     if _UUID.fullmatch(run) or run.isdigit():
         return True
     if _HEX_ONLY.fullmatch(run):
         return len(run) in DIGESTS
     if _NAME.fullmatch(run):
-        # a name is made of words; a random string breaks into pieces of one or two letters
+        # a name is made of words that the vocabulary knows, whatever their case; the pieces of a
+        # random string, long ones too, need a token for every one or two letters
         words = _WORD.findall(run)
-        return len(run) / len(words) >= 4
+        tokens = sum(len(encoding.encode_ordinary(" " + w.lower())) for w in words) + len(_DIGITS.findall(run))
+        return sum(map(len, words)) / tokens >= MIN_WORDS_RATIO
     return False
 
 
@@ -77,7 +83,7 @@ def token_spans(text: str, encoding, base: list[tuple[int, int, str]]) -> list[t
     """Runs with few characters for each token that no base span overlaps."""
     spans = []
     for m in CANDIDATE.finditer(text):
-        if len(set(m[0])) < 8 or excluded(m[0]) or any(a < m.end() and m.start() < b for a, b, _ in base):
+        if len(set(m[0])) < 8 or excluded(m[0], encoding) or any(a < m.end() and m.start() < b for a, b, _ in base):
             continue
         if (m.end() - m.start()) / len(encoding.encode_ordinary(m[0])) < MAX_RATIO:
             spans.append((m.start(), m.end(), "token"))

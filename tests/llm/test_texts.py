@@ -73,6 +73,19 @@ def test_secrets(spark):
     assert secrets.report(docs.limit(0), RANKS).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_random_strings_of_one_case_are_secrets(encoding, letters):
+    rng = random.Random(9)
+    runs = ["".join(rng.choice(letters) for _ in range(rng.randrange(20, 41))) for _ in range(300)]
+    runs += ["-".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(5)) for _ in range(300)]
+    assert sum(secrets.token_spans(f"key {r} here", encoding, []) == [(4, 4 + len(r), "token")] for r in runs) >= 0.93 * len(runs)
+
+
+def test_names_of_words_are_no_secrets(encoding):
+    for name in ("internationalization-of-the-people", "NOT_LIST_OR_STRING_OR_TUPLE", "getUserNameFromRequest2", "HAVE_SYS_SOUNDCARD_HEADER", "path/to/some_file_name"):
+        assert secrets.token_spans(name, encoding, []) == [], name
+
+
 def test_urls(spark):
     rng = random.Random(4)
     hosts = ["a.example.net", "Example.NET", "example.com", "x.org", "net", "y.info", "notexample.com", "a.b.org"]
