@@ -233,7 +233,10 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns.
 
-    Only the ids of contaminated documents are dealt, and joined with those of docs.
+    Only keys of contaminated documents are dealt, and joined with those of docs.  A key is
+    the text's digest and the id, so a null id is like any other, and rows of one id are
+    judged by their own texts; the id spreads equal texts over tasks.
     """
-    gone = find(docs, benchmark).where(contaminated()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.withColumn("_key", F.concat(F.sha2("text", 256), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    gone = find(keyed, benchmark, id_col="_key").where(contaminated()).select("_key").distinct()
+    return keyed.join(gone, "_key", "left_anti").select(docs.columns)
