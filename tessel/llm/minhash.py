@@ -288,7 +288,15 @@ def report(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: one of each component; of repeated rows of one id, all."""
-    found = classes(docs, size=size, percent=percent)
-    gone = found.where(~kept()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that stay: one of each component, and all rows without words.
+
+    Rows get numbers of their own, so that rows with repeated or null ids are told apart.
+    The row with the smallest id stays, a null id before all others.
+    """
+    store = Store(docs.sparkSession, "deduplicate")
+    # written, since other scans could number the rows in another way
+    numbered = store.table("numbered", docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = classes(numbered, id_col="_row", size=size, percent=percent)
+    ids = found.join(numbered.select("_row", "doc_id"), "_row")
+    stays = store.table("stays", ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row")).select("_row"))
+    return numbered.join(stays, "_row", "left_semi").select(docs.columns)

@@ -85,6 +85,17 @@ def test_minhash_keeps_one_of_each_group(spark, docs):
     assert minhash.report(docs.limit(0)).count() == 0
 
 
+def test_minhash_keeps_one_of_rows_with_repeated_or_null_ids(spark):
+    rng = random.Random(7)
+    same, nulls, own, other = (prose(rng, 60) for _ in range(4))
+    rows = [(1, same), (1, same), (2, same), (None, nulls), (None, nulls), (None, nulls + " more"), (3, own), (3, other), (4, None), (4, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = sorted(map(tuple, minhash.deduplicate(docs.persist()).collect()), key=repr)
+    assert [r for r in left if r[1] and r[1].startswith(nulls)][1:] == []
+    assert sorted([r for r in left if not (r[1] and r[1].startswith(nulls))], key=repr) == sorted([(1, same), (3, own), (3, other), (4, None), (4, None), (None, ""), (None, "")], key=repr)
+    assert len(left) == 8
+
+
 def test_odd_sketch_estimates_high_similarity():
     rng = np.random.default_rng(3)
     for share in (0.7, 0.8, 0.9, 0.97):
