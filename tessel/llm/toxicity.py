@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .labelled import held_out, row_weights, sample, sigmoid
 from .store import Store
 from .text import as_strings
@@ -36,9 +37,9 @@ FIT_ROWS, MAX_TERMS, REMEMBERED = 4000, 3000, 400_000
 #: Terms need this log odds ratio, this share of the toxic rows, and this much evidence
 #: (twice the log likelihood ratio against use at the labels' common rate).
 MIN_ODDS, MIN_SHARE, MIN_EVIDENCE = 2.5, 0.002, 15.0
-#: Of sampled rows that begin or end with the same characters, one counts: near copies
-#: would pass chance words off as terms.
-SAME_EDGE = 48
+#: Of sampled rows of a label that share this much of their shingles of so many words, one
+#: counts: near copies would pass chance words off as terms.
+SAME, SAME_WORDS = 0.5, 3
 #: Shorter terms are matched exactly only.  Lengths of beginnings of words.
 FUZZY_LENGTH, BEGINNINGS = 5, (4, 5, 6)
 #: Words on each side of a hit; factors of its weight.
@@ -211,10 +212,33 @@ def _counted(rows: DataFrame, names) -> dict[str, tuple[int, int]]:
     return rows.select("text", "y").mapInArrow(run, "name string, t long, c long").groupBy("name").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """The sampled rows (text, y) without near copies, told by MinHash sketches of whole texts."""
+    keyed = rows.withColumn("key", F.concat_ws(":", F.col("y").cast("string"), F.xxhash64("text").cast("string")))
+    signed = minhash.signatures(keyed, "key", "text", SAME_WORDS).where("sketch is not null").select("id", "sketch").collect()
+    gone: list[str] = []
+    by_label: dict[str, list] = {}
+    for r in sorted(signed, key=lambda r: r.id):
+        by_label.setdefault(r.id.split(":")[0], []).append(r)
+    for own in by_label.values():
+        sketches = np.array([np.frombuffer(r.sketch, dtype=np.uint64) for r in own])
+        kept = np.zeros_like(sketches)
+        n = 0
+        for r, sketch in zip(own, sketches, strict=True):
+            differing = np.bitwise_count(kept[:n] ^ sketch).sum(axis=1, dtype=np.int64)
+            if (minhash.estimate(differing) >= SAME).any():
+                gone.append(r.id)
+            else:
+                kept[n] = sketch
+                n += 1
+    copies = rows.sparkSession.createDataFrame([(k,) for k in gone], "key string")
+    return keyed.join(F.broadcast(copies), "key", "left_anti").select("text", "y")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     store = Store(docs.sparkSession, "toxicity")
     rows, counts = sample(store, docs, labels, label_col, fit_rows, id_col, text_col)
-    rows = store.table("apart", rows.dropDuplicates(["y", "text"]).withColumn("head", F.substring("text", 1, SAME_EDGE)).withColumn("tail", F.substring("text", -SAME_EDGE, SAME_EDGE)).dropDuplicates(["y", "head"]).dropDuplicates(["y", "tail"]).select("text", "y"))
+    rows = store.table("apart", _apart(rows))
     n = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0

@@ -201,6 +201,18 @@ def test_classifiers(spark):
     assert left.columns == docs.columns and 390 <= left.count() <= 410
 
 
+def test_a_shared_banner_does_not_hide_toxic_rows(spark):
+    rng = random.Random(12)
+    words = [a + b + c for a in "ka lo mi nu".split() for b in "ba de fi go".split() for c in "ra so tu".split()]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    banner, footer = text(12), text(12)
+    docs = [(i, f"{banner} {text(30)} {'zzidiot' if i % 4 == 0 else ''} {text(30)} {footer}" if i % 4 == 0 else text(70)) for i in range(200)]
+    docs += [(200 + i, docs[4][1].replace("zzidiot", f"zzidiot qqchance w{i}")) for i in range(60)]
+    labels = [(i, int(i % 4 == 0 or i >= 200)) for i, _ in docs]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "zzidiot" in model.lexicon.terms and "qqchance" not in model.lexicon.terms
+
+
 def test_held_out(spark):
     import zlib
 
