@@ -19,8 +19,6 @@ listed or counted.
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,15 +31,6 @@ WINDOW, SHINGLE = 13, 3
 BLOCK_WORDS = 400_000
 
 
-def _runs(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of size consecutive words."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return tx.span_hashes(hashes, at, at + size)
-
-
 class Windows:
     """The distinct windows of one block of items."""
 
@@ -58,8 +47,7 @@ class Windows:
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.shingles: list[np.ndarray] = []
         for words in self.words:
-            hashes = np.array([_hash(w) for w in words], dtype=np.uint64)
-            self.shingles.append(_runs(hashes, min(SHINGLE, len(words))))
+            self.shingles.append(tx.run_hashes(tx.hashed(words), min(SHINGLE, len(words))))
 
     def tokens(self) -> tuple[np.ndarray, list[int]]:
         """The distinct shingles, sorted, and the sizes in words that they have."""
@@ -84,11 +72,6 @@ def _one(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return raw, np.array([0, len(raw)])
 
 
-def _hash(word: bytes) -> int:
-    raw = np.frombuffer(word, dtype=np.uint8)
-    return int(tx.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
-
-
 def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions in keys, positions in the sorted table) of the keys that it has."""
     if not len(table) or not len(keys):
@@ -114,7 +97,7 @@ def _frequencies(docs: DataFrame, text_col: str, tokens: np.ndarray, sizes: list
             for _, _, block in tx.blocks(batch.column(0), tx.ALNUM, True):
                 hashes, rows = block.hashes(), block.word_rows()
                 for size in sizes:
-                    keys = _runs(hashes, size)
+                    keys = tx.run_hashes(hashes, size)
                     at, which = _lookup(sent.value, keys)
                     fits = rows[at] == rows[at + size - 1]
                     pairs = np.unique(rows[at[fits]] * len(counts) + which[fits])
@@ -140,7 +123,7 @@ def _matches(docs: DataFrame, id_col: str, text_col: str, windows: Windows) -> D
                 hashes, rows, n = block.hashes(), block.word_rows(), np.diff(block.first)
                 spans: dict[int, list] = {}
                 for size in sizes:
-                    at, which = _lookup(own.prefix, _runs(hashes, size))
+                    at, which = _lookup(own.prefix, tx.run_hashes(hashes, size))
                     for a, k in zip(at.tolist(), which.tolist(), strict=True):
                         row = int(rows[a])
                         for w in own.by[own.bounds[k] : own.bounds[k + 1]].tolist():

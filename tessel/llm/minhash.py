@@ -40,6 +40,9 @@ SAMPLES, BANDS, ROWS, BITS = 512, 25, 5, 2048
 MARGIN = 0.085
 #: Partners of one pivot, and classes of one band, that are handled together.
 STAR, BLOCK = 16, 128
+#: A class counts once for each so many shingles when blocks are dealt, so that a block's
+#: texts stay bounded in bytes; rows that are signed at once, and bytes of text at once.
+HEAVY, SIGNED, BLOCK_BYTES = 2000, 256, 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,13 +116,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
 
     def run(batches):
         for batch in batches:
-            for lo, hi, block in tx.blocks(batch.column(1), tx.NOT_SPACE, True):
+            for lo, hi, block in tx.blocks(batch.column(1), tx.NOT_SPACE, True, BLOCK_BYTES):
                 sets, limits = shingle_sets(block, size)
                 counts = np.diff(limits)
                 full = np.flatnonzero(counts > 0)
                 if len(full):
                     edges = np.append(limits[:-1][full], len(sets))
-                    signed = [sign(sets[edges[i] : edges[min(i + 1000, len(full))]], edges[i : min(i + 1000, len(full)) + 1] - edges[i]) for i in range(0, len(full), 1000)]
+                    signed = [sign(sets[edges[i] : edges[min(i + SIGNED, len(full))]], edges[i : min(i + SIGNED, len(full)) + 1] - edges[i]) for i in range(0, len(full), SIGNED)]
                     first, second, band, sketch = (np.concatenate(x) for x in zip(*signed, strict=True))
                 at = np.full(hi - lo, -1)
                 at[full] = np.arange(len(full))
@@ -195,17 +198,17 @@ def _reach(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def _rest(known: DataFrame, own: DataFrame, texts: DataFrame, store: Store, size: int, percent: int) -> DataFrame:
     """Links (a, b) between classes of one band but different components.
 
-    known: band, k, id, component.  In each band that holds several components, the
+    known: band, k, id, component, weight.  In each band that holds several components, the
     classes outside its largest one are dealt to blocks of BLOCK, and so is the largest;
     each block of the former meets each other block in a group of its own.  Classes of
     the largest component don't meet each other.
     """
-    sizes = known.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = known.groupBy("band", "component").agg(F.sum("weight").alias("n"))
     bands = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
     bands = bands.select("band", F.col("big.component").alias("big"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).cast("int").alias("s"), F.ceil(F.col("big.n") / BLOCK).cast("int").alias("g"))
     rows = store.table("open", known.join(store.table("bands_open", bands), "band"))
     is_big = F.col("component") == F.col("big")
-    rows = rows.join(own, "id").withColumn("own", F.when(is_big, F.col("s") + F.pmod(F.xxhash64("id"), "g")).otherwise(F.pmod(F.xxhash64("id"), "s")).cast("int"))
+    rows = rows.join(own.drop("weight"), "id").withColumn("own", F.when(is_big, F.col("s") + F.pmod(F.xxhash64("id"), "g")).otherwise(F.pmod(F.xxhash64("id"), "s")).cast("int"))
     each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_big, F.col("s")).otherwise(F.col("s") + F.col("g")) - 1)))
     dealt = each.select("band", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch", "bands")
 
@@ -258,15 +261,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     signed = store.table("signed", signatures(rows, "id", "text", size))
     held = signed.where(F.col("id").isNotNull() & F.col("f1").isNotNull())
     classed = store.table("classes", held.groupBy("f1", "f2").agg(F.min("id").alias("id")))
-    own = held.select("id", "f1", "f2", "bands", "sketch").join(classed, ["id", "f1", "f2"], "left_semi")
-    own = store.table("own", own.select("id", "bands", "sketch"))
-    banded = own.select("id", F.posexplode("bands").alias("k", "v")).select("id", "k", F.xxhash64("k", "v").alias("band"))
+    own = held.select("id", "f1", "f2", "bands", "sketch", F.ceil(F.col("n") / HEAVY).alias("weight")).join(classed, ["id", "f1", "f2"], "left_semi")
+    own = store.table("own", own.select("id", "bands", "sketch", "weight"))
+    banded = own.select("id", "weight", F.posexplode("bands").alias("k", "v")).select("id", "weight", "k", F.xxhash64("k", "v").alias("band"))
     full = store.table("full", banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).where("n > 1"))
-    members = store.table("members", banded.join(full, "band").select("band", "k", "id", "a"))
+    members = store.table("members", banded.join(full, "band").select("band", "k", "id", "a", "weight"))
     tried = store.table("tried", members.where("a < id").groupBy("id").agg(F.min("a").alias("a")).select("a", F.col("id").alias("b")))
     links = store.table("links", _confirm(store, tried, texts, size, percent))
     found = store.table("found", components(spark, links, "minhash-links"))
-    known = store.table("known", members.join(found, "id", "left").select("band", "k", "id", F.coalesce("component", "id").alias("component")))
+    known = store.table("known", members.join(found, "id", "left").select("band", "k", "id", F.coalesce("component", "id").alias("component"), "weight"))
     more = store.table("links", _rest(known, own, texts, store, size, percent))
     if not more.isEmpty():
         found = store.table("found", components(spark, links.unionByName(more), "minhash-links"))
@@ -274,7 +277,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     whole = store.table("whole", whole)
     out = signed.select("id", "n", "f1", "f2").join(whole, ["f1", "f2"], "left")
     out = store.table("out", out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id")))
-    store.drop(*[name for name in store.paths if name != "out"])
+    store.drop_but("out")
     return out
 
 

@@ -4,16 +4,20 @@ A window is WINDOW consecutive words; a window recurs when its words start anywh
 too.  Each window has a seed, its run of GRAM words with the least hash, so equal windows
 have equal seeds, and only every tenth place or so holds a seed.
 
-1. Texts with equal words are put together first and stand as one with their count.
+1. Texts with equal words (by SHA-256) are put together first and stand as one with their
+   count.
 2. Seeds are counted over all texts; only windows whose seed recurs are candidates.
    They are counted exactly, by 128-bit hashes of their words: those that recur are
-   confirmed, and each names one place, the least, as its source.
+   confirmed, and each names one text, the least, as its source.  Candidates are made
+   again where they are needed and never stored, so that the only large thing on disk is
+   one shuffle at a time.
 3. Confirmed windows that follow each other in their source make one passage.  Sources
    are dealt to shards of bounded size; a shard compiles an Aho-Corasick automaton of
    the seed phrases of its passages and streams past it all documents that hold a
-   candidate of the shard.  Windows around the phrases found are looked up among the
-   passages' windows and compared word by word; those that agree are removed.
-   Shards that many documents need are dealt to several tasks.
+   confirmed window of the shard.  The automaton finds the places; windows around the
+   phrases found are looked up among the passages' windows and compared word by word, and
+   those that agree are removed.  Shards that many documents need are dealt to several
+   tasks.
 
 Defined results: null or empty text has no words; texts with fewer than WINDOW words lose
 none.  Rows with equal words, repeated rows too, recur with each other.  A null id is a
@@ -35,14 +39,8 @@ from .store import Store
 WINDOW, GRAM = 35, 8
 #: Sources in a shard, and documents that one task streams past a shard's automaton.
 SOURCES, STREAM = 16, 64
-
-
-def _grams(hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return tx.span_hashes(hashes, at, at + size, which)
+#: Windows in one Arrow batch.
+OUT = 20_000
 
 
 def _least(values: np.ndarray, size: int) -> np.ndarray:
@@ -57,14 +55,14 @@ def _least(values: np.ndarray, size: int) -> np.ndarray:
 
 def _windows(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """The seed of each window, and the hashes of the grams, of one text's words."""
-    grams = _grams(hashes, gram)
+    grams = tx.run_hashes(hashes, gram)
     if len(hashes) < window:
         return np.zeros(0, np.uint64), grams
     return _least(grams, window - gram + 1), grams
 
 
 def _described(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """row, id, n_words, d1 and d2 (of the words), kept_sha256 (of all words), seeds and their counts."""
+    """row, id, n_words, whole (SHA-256 of all words), seeds and their counts."""
     kind = dict(docs.dtypes)["id"]
 
     def run(batches):
@@ -72,7 +70,6 @@ def _described(docs: DataFrame, window: int, gram: int) -> DataFrame:
             for lo, hi, block in tx.blocks(batch.column("text"), tx.NOT_SPACE):
                 hashes = block.hashes()
                 counts = np.diff(block.first)
-                d1, d2 = (tx.span_hashes(hashes, block.first[:-1], block.first[1:], k) for k in (0, 1))
                 whole, seeds, times = [], [], []
                 raw = block.buf.tobytes()
                 for i in range(hi - lo):
@@ -86,15 +83,15 @@ def _described(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     seeds.append(own.view(np.int64))
                     times.append(np.bincount(at, minlength=len(own)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(lo, hi - lo), batch.column("id").slice(lo, hi - lo), pa.array(counts.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(whole), pa.array(seeds, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
-                    names=["row", "id", "n_words", "d1", "d2", "whole", "seeds", "times"],
+                    [batch.column("row").slice(lo, hi - lo), batch.column("id").slice(lo, hi - lo), pa.array(counts.astype(np.int64)), pa.array(whole), pa.array(seeds, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
+                    names=["row", "id", "n_words", "whole", "seeds", "times"],
                 )
 
-    return docs.mapInArrow(run, f"row long, id {kind}, n_words long, d1 long, d2 long, whole string, seeds array<long>, times array<long>")
+    return docs.mapInArrow(run, f"row long, id {kind}, n_words long, whole string, seeds array<long>, times array<long>")
 
 
 def _candidates(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """h1, h2, row, start, copies of the windows whose seed is among the row's recurring ones."""
+    """h1, h2, row, copies of the windows whose seed is among the row's recurring ones."""
 
     def run(batches):
         for batch in batches:
@@ -108,12 +105,14 @@ def _candidates(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     least, _ = _windows(own, window, gram)
                     at = np.flatnonzero(np.isin(least, np.array(seeds[i], dtype=np.int64).view(np.uint64)))
                     if len(at):
-                        found.append((np.full(len(at), rows[i]), np.full(len(at), copies[i]), at, tx.span_hashes(own, at, at + window, 0), tx.span_hashes(own, at, at + window, 1)))
+                        found.append((np.full(len(at), rows[i]), np.full(len(at), copies[i]), tx.run_hashes(own, window)[at], tx.run_hashes(own, window, 1)[at]))
                 if found:
-                    row, copy, at, h1, h2 = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(row), pa.array(at.astype(np.int32)), pa.array(copy)], names=["h1", "h2", "row", "start", "copies"])
+                    row, copy, h1, h2 = (np.concatenate(x) for x in zip(*found, strict=True))
+                    for a in range(0, len(row), OUT):
+                        some = slice(a, a + OUT)
+                        yield pa.RecordBatch.from_arrays([pa.array(h1[some].view(np.int64)), pa.array(h2[some].view(np.int64)), pa.array(row[some]), pa.array(copy[some])], names=["h1", "h2", "row", "copies"])
 
-    return texts.select("row", "text", "seeds", "copies").mapInArrow(run, "h1 long, h2 long, row long, start int, copies long")
+    return texts.select("row", "text", "seeds", "copies").mapInArrow(run, "h1 long, h2 long, row long, copies long")
 
 
 class Automaton:
@@ -127,12 +126,12 @@ class Automaton:
         self.machine = ahocorasick.Automaton()
         keys, owners, places = [], [], []
         for k, words in enumerate(passages):
-            hashes = _hashed(words)
+            hashes = tx.hashed(words)
             least, grams = _windows(hashes, window, gram)
             for at in np.flatnonzero(np.isin(grams, least)).tolist():
                 self.machine.add_word((b" " + b" ".join(words[at : at + gram]) + b" ").decode("latin-1"), gram)
             at = np.arange(len(words) - window + 1)
-            keys.append(tx.span_hashes(hashes, at, at + window))
+            keys.append(tx.run_hashes(hashes, window))
             owners.append(np.full(len(at), k))
             places.append(at)
         if passages:
@@ -155,8 +154,7 @@ class Automaton:
         np.add.at(near, np.clip(last - (self.window - self.gram), 0, n), 1)
         np.add.at(near, np.clip(last + 1, 0, n), -1)
         at = np.flatnonzero(np.cumsum(near[:n]) > 0)
-        hashes = _hashed(words)
-        keys = tx.span_hashes(hashes, at, at + self.window)
+        keys = tx.run_hashes(tx.hashed(words), self.window)[at]
         which = np.searchsorted(self.keys, keys)
         which[which == len(self.keys)] = 0
         same = self.keys[which] == keys
@@ -170,12 +168,6 @@ class Automaton:
         return list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
 
 
-def _hashed(words: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(words), dtype=np.uint8)
-    limits = np.cumsum([0, *map(len, words)])
-    return tx.span_hashes(raw, limits[:-1], limits[1:])
-
-
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(runs):
@@ -200,7 +192,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     described = store.table("described", _described(numbered, window, gram))
     long_enough = described.where(F.col("n_words") >= window)
-    same = store.table("same", long_enough.groupBy("d1", "d2").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")))
+    same = store.table("same", long_enough.groupBy("whole").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")))
     first = long_enough.select("row", "seeds", "times").join(same.select("row", "copies"), "row")
     seeded = store.table("seeded", first.select("row", "copies", F.explode(F.arrays_zip("seeds", "times")).alias("x")).select("row", F.col("x.seeds").alias("seed"), (F.col("x.times") * F.col("copies")).alias("n")))
     again = store.table("again", seeded.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed"))
@@ -208,34 +200,33 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     store.drop("seeded", "again")
     texts = store.table("texts", numbered.select("row", "text").join(wanted, "row"))
     store.drop("wanted")
-    windows = store.table("windows", _candidates(texts, window, gram))
-    counted = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.min(F.struct("row", "start")).alias("source"))
-    confirmed = store.table("confirmed", counted.where("n > 1").select("h1", "h2", F.col("source.row").alias("source"), F.col("source.start").alias("place")))
-    store.drop()  # the counts' shuffle files are the largest of all
+    windows = _candidates(texts, window, gram)
+    counted = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.min("row").alias("source"))
+    confirmed = store.table("confirmed", counted.where("n > 1").select("h1", "h2", "source"))
 
     shards = F.ceil(F.lit(max(1, same.count())) / SOURCES)
     shard = F.pmod(F.xxhash64("source"), shards).alias("shard")
-    pieces = confirmed.groupBy("source").agg(F.sort_array(F.collect_list("place")).alias("places")).select("source", "places", shard)
+    pieces = confirmed.groupBy("source").agg(F.collect_list("h1").alias("keys")).select("source", "keys", shard)
     needs = store.table("needs", windows.select("h1", "h2", "row").join(confirmed, ["h1", "h2"]).select("row", shard).distinct())
-    store.drop("windows")
     parts = store.table("parts", needs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / STREAM).alias("parts")))
     sources = store.table("sources", pieces.join(texts.select(F.col("row").alias("source"), "text"), "source").join(parts, "shard"))
     store.drop("confirmed")
     none = F.lit(None)
-    compiled = sources.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), none.cast("long").alias("row"), "places", "text")
-    streamed = needs.join(parts, "shard").select("shard", F.pmod(F.xxhash64("row"), "parts").alias("part"), "row").join(texts.select("row", "text"), "row").select("shard", "part", "row", none.cast("array<int>").alias("places"), "text")
+    compiled = sources.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), none.cast("long").alias("row"), "keys", "text")
+    streamed = needs.join(parts, "shard").select("shard", F.pmod(F.xxhash64("row"), "parts").alias("part"), "row").join(texts.select("row", "text"), "row").select("shard", "part", "row", none.cast("array<long>").alias("keys"), "text")
 
     def locate(batches):
         now, machine, passages = None, None, []
         for batch in batches:
-            shard, part, row, places, text = (batch.column(i).to_pylist() for i in range(5))
+            shard, part, row, keys, text = (batch.column(i).to_pylist() for i in range(5))
             found, starts, ends = [], [], []
             for i in range(len(shard)):
                 if now != (shard[i], part[i]):
                     now, machine, passages = (shard[i], part[i]), None, []
                 words = _split(text[i])
                 if row[i] is None:
-                    own = np.array(places[i])
+                    held = np.array(keys[i], dtype=np.int64).view(np.uint64)
+                    own = np.flatnonzero(np.isin(tx.run_hashes(tx.hashed(words), window), held))
                     breaks = np.flatnonzero(np.diff(own) > 1)
                     for a, b in zip(own[np.append(0, breaks + 1)].tolist(), own[np.append(breaks, len(own) - 1)].tolist(), strict=True):
                         passages.append(words[a : b + window])
@@ -269,12 +260,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["row", "removed", "digest", "starts", "ends"])
 
     done = texts.select("row", "text").join(per_row, "row").mapInArrow(cut, "row long, removed long, digest string, starts array<int>, ends array<int>")
-    by_class = store.table("cut", done.join(same, "row").select("d1", "d2", "removed", "digest", "starts", "ends"))
-    out = described.select("id", "n_words", "d1", "d2", "whole").join(by_class, ["d1", "d2"], "left")
+    by_class = store.table("cut", done.join(same, "row").select("whole", "removed", "digest", "starts", "ends"))
+    out = described.select("id", "n_words", "whole").join(by_class, "whole", "left")
     empty = F.array().cast("array<int>")
     out = out.select(F.col("id").alias(id_col), "n_words", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("digest", "whole").alias("kept_sha256"), F.coalesce("starts", empty).alias("starts"), F.coalesce("ends", empty).alias("ends"))
     out = store.table("out", out)
-    store.drop(*[name for name in store.paths if name != "out"])
+    store.drop_but("out")
     return out
 
 

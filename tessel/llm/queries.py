@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontam, minhash, phrases, quality, secrets, toxicity, urls, vectors, warc
+from .store import settle
 
 
 def ranks_path() -> str:
@@ -17,7 +18,7 @@ def ranks_path() -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return settle(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

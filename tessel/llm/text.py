@@ -7,6 +7,7 @@ per block stays bounded; a single longer document makes a block of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Odd multipliers; one pair for each independent hash of runs.
+_ODD = ((U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)), (U64(0xD6E8FEB86659FD93), U64(0xFF51AFD7ED558CCD)))
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
 
 #: Bytes of words: everything but space and \x09-\x0D.
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -27,8 +32,6 @@ ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the whole word."""
@@ -37,28 +40,53 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of a base, and of its inverse, modulo 2**64."""
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        base = _BASES[which]
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, dtype=U64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        have = _powers[which] = (both[0], both[1])
-    return have[0][:n], have[1][:n]
-
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes buf[start:end] of each span.
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span, in constant time per span."""
-    up, down = powers(which, len(values) + 1)
-    total = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=total[1:])
-    got = (total[ends] - total[starts]) * down[starts]
-    return mix64(got ^ ((ends - starts).astype(U64) * U64(0xC2B2AE3D27D4EB4F)))
+    Eight bytes at a time, mixed after each step: no polynomial, whose collisions some
+    patterns reach whatever its base.
+    """
+    left = (ends - starts).astype(np.int64)
+    out = mix64(left.astype(U64) * _ODD[0][0] + _ODD[1][0])
+    eight = np.ndarray(len(buf) + 1, dtype="<u8", buffer=np.concatenate([buf, np.zeros(8, dtype=np.uint8)]), strides=(1,))
+    own, at = np.arange(len(left)), np.asarray(starts, dtype=np.int64)
+    for k in np.flatnonzero(left > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    some = (left > 0) & (left <= LONG_WORD)
+    own, at, left = own[some], at[some], left[some]
+    while len(own):
+        chunk = eight[at] & _LOW_BYTES[np.minimum(left, 8)]
+        out[own] = mix64((out[own] ^ chunk) * _ODD[0][1] + _ODD[1][1])
+        more = left > 8
+        own, at, left = own[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    """The hashes of words, as Block.hashes gives them."""
+    limits = np.cumsum([0, *map(len, words)])
+    return word_hashes(np.frombuffer(b"".join(words), dtype=np.uint8), limits[:-1], limits[1:])
+
+
+def run_hashes(values: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of size consecutive values.
+
+    Runs of 1, 2, 4, ... values are mixed pairwise, and those that make up size put together.
+    """
+    n = len(values) - size + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    a, b = _ODD[which]
+    part, width, taken = mix64(values.astype(U64) + a), 1, 0
+    out = np.full(n, U64(size), dtype=U64) * b
+    while True:
+        if size & width:
+            out = mix64(out * a + part[taken : taken + n])
+            taken += width
+        if 2 * width > size:
+            return out
+        part = mix64(part[:-width] * b + part[width:])
+        width *= 2
 
 
 class Block:
@@ -87,7 +115,7 @@ class Block:
         return len(self.offsets) - 1
 
     def hashes(self) -> np.ndarray:
-        return span_hashes(self.buf, self.starts, self.ends)
+        return word_hashes(self.buf, self.starts, self.ends)
 
     def word_rows(self) -> np.ndarray:
         """The row of each word."""
@@ -124,7 +152,7 @@ def buffers(column: pa.Array, max_bytes: int) -> Iterator[tuple[int, int, np.nda
         lo = hi
 
 
-def blocks(column: pa.Array, table: np.ndarray, lower: bool = False, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, Block]]:
+def blocks(column: pa.Array, table: np.ndarray, lower: bool = False, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, Block]]:
     for lo, hi, buf, offsets in buffers(column, max_bytes):
         yield lo, hi, Block(buf, offsets, table, lower)
 

@@ -10,12 +10,16 @@ come near are matched exactly only.  A window of words around each hit tells quo
 near it), which lowers or raises its weight; a logistic regression turns the sums into
 probabilities.
 
-Learning reads at most FIT_ROWS rows of each label; the lexicon keeps at most MAX_TERMS
-terms, a size of the model.  Scoring is a narrow map over whole texts.
+Learning reads at most FIT_ROWS rows of each label; every term of theirs that passes the
+tests below is in the lexicon, and their evidence bounds how many can.  Scoring is a narrow
+map over whole texts.
 
 Defined results: null and empty texts score as texts without hits; with fewer than two
 labels in the training rows every score is the label's share (0 without any).
-Rows with a null id are scored like others and aren't held out.
+Rows with a null id are scored like others and aren't held out; repeated rows give a row
+each; of repeated labels of one id the largest counts; terms of one weight are told apart
+by name; other columns of docs don't matter, whatever their names; an empty table gives
+an empty one.
 """
 
 from __future__ import annotations
@@ -33,7 +37,9 @@ from .labelled import held_out, row_weights, sample, sigmoid
 from .store import Store
 from .text import as_strings
 
-FIT_ROWS, MAX_TERMS, REMEMBERED = 4000, 3000, 400_000
+FIT_ROWS = 4000
+#: Tokens (of at most so many characters) and states of the automaton that a worker remembers.
+REMEMBERED, REMEMBERED_CHARS, STATES = 150_000, 64, 20_000
 #: Terms need this log odds ratio, this share of the toxic rows, and this much evidence
 #: (twice the log likelihood ratio against use at the labels' common rate).
 MIN_ODDS, MIN_SHARE, MIN_EVIDENCE = 2.5, 0.002, 15.0
@@ -147,10 +153,12 @@ class Lexicon:
     def token(self, token: str) -> tuple[str, float, int] | None:
         if token in self.known:
             return self.known[token]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or len(self.sets) > STATES:
             self.clear()
         hits = [h for h in map(self.look, cores(token)) if h]
-        self.known[token] = best = max(hits, key=lambda h: (h[1], -h[2], h[0]), default=None)
+        best = max(hits, key=lambda h: (h[1], -h[2], h[0]), default=None)
+        if len(token) <= REMEMBERED_CHARS:
+            self.known[token] = best
         return best
 
 
@@ -253,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fit_rows:
 
     def best(names) -> dict[str, float]:
         found = _counted(rows, names).where(F.col("t") >= max(2, int(MIN_SHARE * toxic))).withColumn("w", odds).where((F.col("w") >= MIN_ODDS) & (evidence >= MIN_EVIDENCE))
-        return {r.name: float(r.w) for r in found.orderBy(F.desc("w"), F.desc("t"), "name").limit(MAX_TERMS).select("name", "w").collect()}
+        return {r.name: float(r.w) for r in found.orderBy(F.desc("w"), F.desc("t"), "name").select("name", "w").collect()}
 
     terms = best(_words)
     beginnings = best(lambda text: {w[:k] for w in _words(text) for k in BEGINNINGS if len(w) > k})
@@ -287,8 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fit_rows:
     return Model(lexicon, mean, scale, beta[:-1], float(beta[-1]))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, score, and hits (term, edits, quoted) of every row."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_hits: bool = True) -> DataFrame:
+    """id_col, score, and hits (term, edits, quoted) of every row if asked for."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     shape = pa.list_(pa.struct([("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
@@ -296,16 +304,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         own: Model = sent.value
         for batch in batches:
-            found = [hits(t, own.lexicon) for t in as_strings(batch.column(1)).to_pylist()]
-            scores = own.scores([features(*f) for f in found]) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array([[{"term": h[0], "edits": h[2], "quoted": h[3]} for h in f] for f, _ in found], shape)], names=["id", "score", "hits"])
+            described, listed = [], []
+            for text in as_strings(batch.column(1)).to_pylist():
+                found, n_words = hits(text, own.lexicon)
+                described.append(features(found, n_words))
+                if with_hits:
+                    listed.append([{"term": h[0], "edits": h[2], "quoted": h[3]} for h in found])
+            columns = [batch.column(0), pa.array(own.scores(described) if described else np.zeros(0))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(listed, shape)] if with_hits else columns, names=["id", "score", "hits"][: 3 if with_hits else 2])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, score double, hits array<struct<term:string,edits:int,quoted:boolean>>").withColumnRenamed("id", id_col)
+    out = rows.mapInArrow(run, f"id {kind}, score double" + (", hits array<struct<term:string,edits:int,quoted:boolean>>" if with_hits else ""))
+    return out.withColumnRenamed("id", id_col)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, fit(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, fit(docs, labels), with_hits=False).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     out = read.join(decided, "tokens", "left")
     out = out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.when(F.col("rule").isNull(), F.col("best.verdict")), F.lit(default)).alias("verdict"), F.when(F.col("rule").isNull(), F.col("best.antecedent")).alias("mined"))
     out = store.table("out", out)
-    store.drop(*[name for name in store.paths if name != "out"])
+    store.drop_but("out")
     return out
 
 

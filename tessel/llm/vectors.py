@@ -285,7 +285,7 @@ def classes(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     of_class = store.table("classes", of_class.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component")))
     out = rows.select("id", "key").join(of_class, "key", "left")
     out = store.table("out", out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-    store.drop(*[name for name in store.paths if name != "out"])
+    store.drop_but("out")
     return out
 
 

@@ -215,10 +215,44 @@ def test_vectors_keep_a_dense_group_whole(spark):
     assert (got <= count).all() and got.sum() >= 0.95 * count.sum()
 
 
-def test_span_hashes_tell_words_apart():
+def test_word_hashes_tell_words_apart():
     raw = np.frombuffer(b"abc abd abc  a", dtype=np.uint8)
     block = tx.Block(raw, np.array([0, 7, 7, 14]), tx.NOT_SPACE, False)
     h = block.hashes()
     assert h[0] == h[2] and len(set(h.tolist())) == 3 and block.first.tolist() == [0, 2, 2, 4]
     joined = tx.Block(np.frombuffer(b"abcd", dtype=np.uint8), np.array([0, 2, 4]), tx.NOT_SPACE, False)
     assert joined.words(0) == [b"ab"] and joined.words(1) == [b"cd"]
+    words = [b"a", b"eightlet", b"ninelette", b"x" * 300, b"x" * 301, b"eightlet\x00"]
+    assert len(set(tx.hashed(words).tolist())) == 6
+    assert tx.run_hashes(tx.hashed(words), 6).shape == (1,) and not len(tx.run_hashes(tx.hashed(words), 7))
+    twice = tx.hashed(words * 2)
+    for size in range(1, 7):
+        runs = tx.run_hashes(twice, size)
+        assert (runs[: 7 - size] == runs[6 : 13 - size]).all() and len(set(runs.tolist())) == 6
+
+
+def thue_morse(n, a, b):
+    return [(a, b)[i.bit_count() % 2] for i in range(n)]
+
+
+def test_phrases_tell_thue_morse_texts_apart(spark):
+    texts = [" ".join(thue_morse(4096, *pair) + [f"w{i}" for i in range(4096)]) for pair in (("foo", "bar"), ("bar", "foo"))]
+    # inside one text runs of such a pattern recur; the texts as wholes don't
+    rows = spark.createDataFrame([(i, " ".join(f"{x}{k}" for k, x in enumerate(t.split()[:4096]))) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r.n_removed for r in phrases.report(rows).collect()] == [0, 0]
+    half = [" ".join(f"{x} {y}" for x, y in zip(t.split()[:4096], t.split()[4096:], strict=True)) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(half)), "doc_id long, text string")
+    assert [r.n_removed for r in phrases.report(rows).collect()] == [0, 0]
+
+
+def test_texts_without_white_space_and_very_long_ones(spark):
+    rng = random.Random(4)
+    words = prose(rng, 200_000).split()
+    long = " ".join(words)
+    words[100_000] = "other"
+    rows = [(1, long), (2, " ".join(words)), (3, "x" * 2_000_000), (4, "x" * 1_999_999 + "y"), (5, prose(rng, 300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).persist()
+    assert [tuple(r) for r in minhash.report(docs).orderBy("doc_id").select("doc_id", "component_id").collect()] == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)]
+    assert [r.n_removed for r in phrases.report(docs).orderBy("doc_id").collect()] == [199_999, 199_999, 0, 0, 0]
+    bench = spark.createDataFrame([(1, " ".join(words[50_000:50_020])), (2, "x" * 2_000_000)], "item_id long, text string")
+    assert [(r.n_hit, r["items"]) for r in decontam.find(docs, bench).orderBy("doc_id").collect()] == [(20, ["1"]), (20, ["1"]), (1, ["2"]), (0, []), (0, [])]
