@@ -302,4 +302,5 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     found = classes(numbered, id_col="_row", size=size, percent=percent)
     ids = found.join(numbered.select("_row", "doc_id"), "_row")
     stays = store.table("stays", ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row")).select("_row"))
-    return numbered.join(stays, "_row", "left_semi").select(docs.columns)
+    # both sides are dealt by the row's number at every size: what is kept grows with docs
+    return numbered.join(stays.hint("shuffle_hash"), "_row", "left_semi").select(docs.columns)

@@ -53,12 +53,36 @@ def _least(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def _windows(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """The seed of each window, and the hashes of the grams, of one text's words."""
-    grams = tx.run_hashes(hashes, gram)
-    if len(hashes) < window:
-        return np.zeros(0, np.uint64), grams
-    return _least(grams, window - gram + 1), grams
+class Seeds:
+    """The grams, windows and their seeds of a block of texts, all at once.
+
+    grams and windows hold the word at which each starts, least the seed of each window,
+    row the row of each.
+    """
+
+    def __init__(self, block: tx.Block, window: int, gram: int):
+        self.hashes = block.hashes()
+        rows = block.word_rows()
+        every = tx.run_hashes(self.hashes, gram)
+        self.gram_at = np.flatnonzero(rows[: len(every)] == rows[gram - 1 :]) if len(every) else np.zeros(0, np.int64)
+        self.gram, self.gram_row = every[self.gram_at], rows[self.gram_at]
+        n = max(0, len(rows) - window + 1)
+        self.at = np.flatnonzero(rows[:n] == rows[window - 1 :]) if n else np.zeros(0, np.int64)
+        self.row = rows[self.at]
+        self.least = _least(every, window - gram + 1)[self.at] if n else np.zeros(0, np.uint64)
+
+
+def _of_row(row: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """One key for a value of a row, to look up the values of many rows at once."""
+    return tx.mix64(values + tx.mix64(row.astype(np.uint64) + np.uint64(1)))
+
+
+def _known(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Places of keys in the sorted table, -1 where it hasn't got them."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
 
 
 def _described(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -68,22 +92,15 @@ def _described(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for lo, hi, block in tx.blocks(batch.column("text"), tx.NOT_SPACE):
-                hashes = block.hashes()
-                counts = np.diff(block.first)
-                whole, seeds, times = [], [], []
-                raw = block.buf.tobytes()
-                for i in range(hi - lo):
-                    whole.append(hashlib.sha256(b" ".join(raw[block.offsets[i] : block.offsets[i + 1]].split())).hexdigest())
-                    least, grams = _windows(hashes[block.first[i] : block.first[i + 1]], window, gram)
-                    own = np.unique(least)
-                    at = np.searchsorted(own, grams) if len(own) else np.zeros(0, np.int64)
-                    if len(own):
-                        at[at == len(own)] = 0
-                        at = at[own[at] == grams]
-                    seeds.append(own.view(np.int64))
-                    times.append(np.bincount(at, minlength=len(own)).astype(np.int64))
+                raw, found = block.buf.tobytes(), Seeds(block, window, gram)
+                whole = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)]
+                keys, first = np.unique(_of_row(found.row, found.least), return_index=True)
+                at = _known(_of_row(found.gram_row, found.gram), keys)
+                times = np.bincount(at[at >= 0], minlength=len(keys))
+                by = np.argsort(found.row[first], kind="stable")
+                sizes = np.bincount(found.row[first], minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(lo, hi - lo), batch.column("id").slice(lo, hi - lo), pa.array(counts.astype(np.int64)), pa.array(whole), pa.array(seeds, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
+                    [batch.column("row").slice(lo, hi - lo), batch.column("id").slice(lo, hi - lo), pa.array(np.diff(block.first).astype(np.int64)), pa.array(whole), tx.long_list(found.least[first][by], sizes), tx.long_list(times[by].astype(np.int64), sizes)],
                     names=["row", "id", "n_words", "whole", "seeds", "times"],
                 )
 
@@ -95,71 +112,80 @@ def _candidates(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            seeds = batch.column("seeds").to_pylist()
+            seeds, sizes = batch.column("seeds").flatten(), batch.column("seeds").value_lengths()
+            wanted = np.unique(_of_row(np.repeat(np.arange(batch.num_rows), np.asarray(sizes)), np.asarray(seeds).view(np.uint64)))
             rows, copies = np.asarray(batch.column("row")), np.asarray(batch.column("copies"))
-            for lo, hi, block in tx.blocks(batch.column("text"), tx.NOT_SPACE):
-                hashes = block.hashes()
-                found = []
-                for i in range(lo, hi):
-                    own = hashes[block.first[i - lo] : block.first[i - lo + 1]]
-                    least, _ = _windows(own, window, gram)
-                    at = np.flatnonzero(np.isin(least, np.array(seeds[i], dtype=np.int64).view(np.uint64)))
-                    if len(at):
-                        found.append((np.full(len(at), rows[i]), np.full(len(at), copies[i]), tx.run_hashes(own, window)[at], tx.run_hashes(own, window, 1)[at]))
-                if found:
-                    row, copy, h1, h2 = (np.concatenate(x) for x in zip(*found, strict=True))
-                    for a in range(0, len(row), OUT):
-                        some = slice(a, a + OUT)
-                        yield pa.RecordBatch.from_arrays([pa.array(h1[some].view(np.int64)), pa.array(h2[some].view(np.int64)), pa.array(row[some]), pa.array(copy[some])], names=["h1", "h2", "row", "copies"])
+            for lo, _, block in tx.blocks(batch.column("text"), tx.NOT_SPACE):
+                found = Seeds(block, window, gram)
+                some = _known(_of_row(found.row + lo, found.least), wanted) >= 0
+                at, row = found.at[some], found.row[some] + lo
+                h1, h2 = (tx.run_hashes(found.hashes, window, k)[at] for k in (0, 1))
+                for a in range(0, len(row), OUT):
+                    part = slice(a, a + OUT)
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[part].view(np.int64)), pa.array(h2[part].view(np.int64)), pa.array(rows[row[part]]), pa.array(copies[row[part]])], names=["h1", "h2", "row", "copies"])
 
     return texts.select("row", "text", "seeds", "copies").mapInArrow(run, "h1 long, h2 long, row long, copies long")
 
 
+class Text:
+    """The words of one text of a block, with the hashes of its grams and windows."""
+
+    def __init__(self, block: tx.Block, grams: np.ndarray, windows: np.ndarray, row: int, window: int, gram: int):
+        lo, hi = int(block.first[row]), int(block.first[row + 1])
+        self.words = block.words(row)
+        self.sizes = block.ends[lo:hi] - block.starts[lo:hi]
+        self.grams, self.windows = grams[lo : max(lo, hi - gram + 1)], windows[lo : max(lo, hi - window + 1)]
+
+
+def texts_of(column: pa.Array, window: int, gram: int):
+    """A Text for each value."""
+    for lo, hi, block in tx.blocks(column, tx.NOT_SPACE):
+        hashes = block.hashes()
+        grams, windows = tx.run_hashes(hashes, gram), tx.run_hashes(hashes, window)
+        for row in range(hi - lo):
+            yield Text(block, grams, windows, row, window, gram)
+
+
 class Automaton:
-    """The seed phrases of passages, and the places of their windows."""
+    """The seed phrases of passages (a text, first and end word), and the places of their windows."""
 
-    def __init__(self, passages: list[list[bytes]], window: int, gram: int):
+    def __init__(self, passages: list[tuple[Text, int, int]], window: int, gram: int):
         import ahocorasick
 
-        self.passages, self.window, self.gram = passages, window, gram
+        self.passages, self.window, self.gram = [text.words[a:b] for text, a, b in passages], window, gram
         # bytes as Latin-1 text, so that places in the automaton's text are byte places
         self.machine = ahocorasick.Automaton()
         keys, owners, places = [], [], []
-        for k, words in enumerate(passages):
-            hashes = tx.hashed(words)
-            least, grams = _windows(hashes, window, gram)
-            for at in np.flatnonzero(np.isin(grams, least)).tolist():
+        for k, (text, a, b) in enumerate(passages):
+            words, grams = text.words, text.grams[a : b - gram + 1]
+            for at in (a + np.flatnonzero(np.isin(grams, _least(grams, window - gram + 1)))).tolist():
                 self.machine.add_word((b" " + b" ".join(words[at : at + gram]) + b" ").decode("latin-1"), gram)
-            at = np.arange(len(words) - window + 1)
-            keys.append(tx.run_hashes(hashes, window))
-            owners.append(np.full(len(at), k))
-            places.append(at)
+            keys.append(text.windows[a : b - window + 1])
+            owners.append(np.full(len(keys[-1]), k))
+            places.append(np.arange(len(keys[-1])))
         if passages:
             self.machine.make_automaton()
             self.keys, first = np.unique(np.concatenate(keys), return_index=True)
             self.owners, self.places = np.concatenate(owners)[first], np.concatenate(places)[first]
 
-    def cover(self, words: list[bytes]) -> list[tuple[int, int]]:
+    def cover(self, text: Text) -> list[tuple[int, int]]:
         """Runs of words [start, end) of the windows that passages hold too."""
-        n = len(words) - self.window + 1
-        if n <= 0 or not len(self.machine):
+        words, n = text.words, len(text.windows)
+        if not n or not len(self.machine):
             return []
-        text = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        ends = np.fromiter((end for end, _ in self.machine.iter(text)), np.int64)
+        joined = (b" " + b" ".join(words) + b" ").decode("latin-1")
+        ends = np.fromiter((end for end, _ in self.machine.iter(joined)), np.int64)
         if not len(ends):
             return []
-        begins = np.cumsum([1, *(len(w) + 1 for w in words)])
+        begins = np.cumsum(np.concatenate([[1], text.sizes + 1]))
         last = np.searchsorted(begins, ends + 1) - self.gram  # the first word of each phrase
         near = np.zeros(n + 1, dtype=np.int64)
         np.add.at(near, np.clip(last - (self.window - self.gram), 0, n), 1)
         np.add.at(near, np.clip(last + 1, 0, n), -1)
         at = np.flatnonzero(np.cumsum(near[:n]) > 0)
-        keys = tx.run_hashes(tx.hashed(words), self.window)[at]
-        which = np.searchsorted(self.keys, keys)
-        which[which == len(self.keys)] = 0
-        same = self.keys[which] == keys
+        which = _known(text.windows[at], self.keys)
         on = np.zeros(len(words) + 1, dtype=np.int64)
-        for i, k in zip(at[same].tolist(), which[same].tolist(), strict=True):
+        for i, k in zip(at[which >= 0].tolist(), which[which >= 0].tolist(), strict=True):
             p = self.places[k]
             if words[i : i + self.window] == self.passages[self.owners[k]][p : p + self.window]:
                 on[i] += 1
@@ -218,21 +244,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     def locate(batches):
         now, machine, passages = None, None, []
         for batch in batches:
-            shard, part, row, keys, text = (batch.column(i).to_pylist() for i in range(5))
+            shard, part, row, keys = (batch.column(i).to_pylist() for i in range(4))
             found, starts, ends = [], [], []
-            for i in range(len(shard)):
+            for i, text in enumerate(texts_of(batch.column(4), window, gram)):
                 if now != (shard[i], part[i]):
                     now, machine, passages = (shard[i], part[i]), None, []
-                words = _split(text[i])
                 if row[i] is None:
-                    held = np.array(keys[i], dtype=np.int64).view(np.uint64)
-                    own = np.flatnonzero(np.isin(tx.run_hashes(tx.hashed(words), window), held))
+                    own = np.flatnonzero(np.isin(text.windows, np.array(keys[i], dtype=np.int64).view(np.uint64)))
                     breaks = np.flatnonzero(np.diff(own) > 1)
                     for a, b in zip(own[np.append(0, breaks + 1)].tolist(), own[np.append(breaks, len(own) - 1)].tolist(), strict=True):
-                        passages.append(words[a : b + window])
+                        passages.append((text, a, b + window))
                     continue
                 machine = machine or Automaton(passages, window, gram)
-                runs = _merged(machine.cover(words))
+                runs = _merged(machine.cover(text))
                 if runs:
                     found.append(row[i])
                     starts.append([a for a, _ in runs])

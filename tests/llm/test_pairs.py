@@ -159,14 +159,13 @@ def test_decontamination(spark, docs, block_words):
 
 
 @pytest.mark.parametrize("block_words", [400_000, 30])
-def test_decontamination_removes_by_text(spark, monkeypatch, block_words):
-    monkeypatch.setattr(decontam.find, "__defaults__", (*decontam.find.__defaults__[:-1], block_words))
+def test_decontamination_removes_by_text(spark, block_words):
     rng = random.Random(6)
     one, two, clean = prose(rng, 20), prose(rng, 20), prose(rng, 40)
     rows = [(1, f"{prose(rng, 5)} {one}"), (1, clean), (None, two), (None, clean), (2, clean), (3, None), (None, None), (4, one), (4, one), (None, "")]
     bench = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    left = sorted(map(tuple, decontam.remove(docs.persist(), bench).collect()), key=repr)
+    left = sorted(map(tuple, decontam.remove(docs.persist(), bench, block_words).collect()), key=repr)
     assert left == sorted([(1, clean), (None, clean), (2, clean), (3, None), (None, None), (None, "")], key=repr)
 
 
