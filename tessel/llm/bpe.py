@@ -1,10 +1,16 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries, one session per task.
 
 A task splits its texts into pieces with numpy, gives each distinct piece a number and
-loads the bytes of the new ones as token-position rows.  A recursive query joins
-neighbouring rows with the merge table, contracts each piece's leftmost pair of minimum
-rank and repeats until no piece has a pair left.  Tokens join the vocabulary again and an
-ordered aggregation decodes them.  Documents are then put together from their pieces.
+loads the new ones.  Pieces that are tokens as they stand join the vocabulary; the bytes of
+the others become token-position rows.  A recursive query joins neighbouring rows with the
+merge table, contracts each piece's leftmost pair of minimum rank and repeats until no
+piece has a pair left.  All tokens then join the vocabulary again and an ordered
+aggregation decodes them.  Documents are put together from their pieces.
+
+Pieces of more than LONG_PIECE bytes are cut first, between neighbouring bytes that no
+occurrence of a token spans: no merge can cross such a place, so the parts are encoded each
+alone, and text without spaces costs little more than other text.  Parts that are still
+longer contract every occurrence of their least pair at once where that gives the same.
 
 Defined results: a null text counts as empty (no ids, empty bytes); rows and their other
 columns stay as they are, repeated rows too; an empty table gives an empty table.
@@ -23,9 +29,13 @@ from pyspark.sql import functions as F
 
 from .text import as_strings
 
-#: Distinct pieces that a worker remembers, and pieces and bytes in one DuckDB query.
-REMEMBERED, PIECES_AT_ONCE, BYTES_AT_ONCE, CHARS_AT_ONCE = 700_000, 60_000, 1_000_000, 4_000_000
-#: Longer pieces contract every occurrence of their least pair at once where that is safe.
+#: Fixed value: the splitting pattern that split() follows.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Distinct pieces, and bytes of them, that a worker remembers.
+REMEMBERED, REMEMBERED_BYTES = 250_000, 16_000_000
+#: Pieces and bytes in one DuckDB query, and characters of the texts that are split together.
+PIECES_AT_ONCE, BYTES_AT_ONCE, CHARS_AT_ONCE = 60_000, 1_000_000, 4_000_000
+#: Longer pieces are cut, and longer parts contract all occurrences of their least pair.
 LONG_PIECE = 96
 #: A noncharacter that marks the splits; texts that hold it are sliced instead.
 _MARK = "\U0010ffff"
@@ -87,13 +97,13 @@ def split(text: str) -> list[str]:
 #: piece's pairs is their rank and place.
 _LOOP = """
 with recursive r(w, t, done) as (
-  select (w::bigint << 24) | p, t, false from start
+  select (w::bigint << 32) | p, t, false from start
   union all (
     with s as (select w, t, lead(t) over x as nt, lead(w) over x as nw, lag(w) over x as pw from r where not done window x as (order by w)),
-    best as (select s.w >> 24 as piece, min((m.rank::bigint << 24) | (s.w & 16777215)) as k from s join merges m on m.pair = (s.t::bigint << 16) | s.nt where s.nw >> 24 = s.w >> 24 group by 1)
-    select s.w, case when s.w & 16777215 = best.k & 16777215 then (best.k >> 24)::int else s.t end, best.k is null
-    from s left join best on s.w >> 24 = best.piece
-    where best.k is null or s.pw is null or s.pw <> (s.w >> 24 << 24) | (best.k & 16777215)
+    best as (select s.w >> 32 as piece, min((m.rank::bigint << 32) | (s.w & 4294967295)) as k from s join merges m on m.pair = (s.t::bigint << 16) | s.nt where s.nw >> 32 = s.w >> 32 group by 1)
+    select s.w, case when s.w & 4294967295 = best.k & 4294967295 then (best.k >> 32)::int else s.t end, best.k is null
+    from s left join best on s.w >> 32 = best.piece
+    where best.k is null or s.pw is null or s.pw <> (s.w >> 32 << 32) | (best.k & 4294967295)
   )
 )
 """
@@ -113,21 +123,25 @@ with recursive all_rows(w, p, t, done) as (
     from s left join least l on s.w = l.w left join picked a on s.w = a.w and s.p = a.p left join picked b on s.w = b.w and s.pp = b.p
     where b.p is null
   )
-), r as (select (w::bigint << 24) | p as w, t, done from all_rows)
+), r as (select (w::bigint << 32) | p as w, t, done from all_rows)
 """
 
-_ENDS = "select r.w >> 24 as piece, count(*) as n, string_agg(v.name, ' ' order by r.w) as ids, string_agg(v.hex, '' order by r.w) as parts from r join vocabulary v on v.id = r.t where r.done group by 1"
+_ENDS = "select r.w >> 32 as piece, count(*) as n, string_agg(v.name, ' ' order by r.w) as ids, string_agg(v.hex, '' order by r.w) as parts from r join vocabulary v on v.id = r.t where r.done group by 1"
+
+#: Pieces that are tokens as they stand, decoded from their ids.
+_WHOLE = "select p.piece, 1 as n, v.name as ids, v.hex as parts from pieces p join vocabulary t on t.raw = p.raw join vocabulary v on v.id = t.id"
 
 
 class Coder:
     """The vocabulary of one rank file in a DuckDB session."""
 
-    def __init__(self, path: str, memory: str = "256MB"):
+    def __init__(self, path: str, memory: str = "512MB"):
         import duckdb
 
+        self.spans = None
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         left, right, rank = [], [], []
         for token, r in self.ranks.items():
             for k in range(1, len(token)):
@@ -137,7 +151,7 @@ class Coder:
         a, b, r = (np.array(x, dtype=np.int64) for x in (left, right, rank))
         unsafe = np.unique(np.concatenate([a[r < a], b[r < b]]))
         self._make("merges", {"pair": (a << 16) | b, "rank": r.astype(np.int32), "safe": ~np.isin(r, unsafe)})
-        self._make("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int32()), "name": list(map(str, self.ranks.values())), "hex": [t.hex() for t in self.ranks]})
+        self._make("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int32()), "name": list(map(str, self.ranks.values())), "hex": [t.hex() for t in self.ranks], "raw": pa.array(list(self.ranks), pa.binary())})
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.forget()
 
@@ -151,45 +165,79 @@ class Coder:
         self.ids: list[str] = []
         self.bytes: list[bytes] = []
         self.sizes = np.zeros(0, dtype=np.int64)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode and decode distinct pieces, in the order of their numbers."""
-        ids: list[str | None] = [None] * len(pieces)
-        parts: list[bytes | None] = [None] * len(pieces)
-        sizes = np.ones(len(pieces), dtype=np.int64)
-        short, long = [], []
-        raws = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        for i, raw in enumerate(raws):
-            known = self.ranks.get(raw)
-            if known is not None:
-                ids[i], parts[i] = str(known), raw
-            else:
-                (long if len(raw) > LONG_PIECE else short).append(i)
+        self.held = 0
+
+    def cut(self, raw: bytes) -> list[bytes]:
+        """A piece in parts that no token spans."""
+        if self.spans is None:
+            import ahocorasick
+
+            self.spans = ahocorasick.Automaton()
+            for token in self.ranks:
+                if len(token) > 1:
+                    self.spans.add_word(token.decode("latin-1"), len(token))
+            self.spans.make_automaton()
+        inside = np.zeros(len(raw) + 2, dtype=np.int64)
+        found = np.array(list(self.spans.iter(raw.decode("latin-1"))), dtype=np.int64).reshape(-1, 2)
+        np.add.at(inside, found[:, 0] - found[:, 1] + 2, 1)
+        np.add.at(inside, found[:, 0] + 1, -1)
+        at = [0, *(np.flatnonzero(np.cumsum(inside)[1 : len(raw)] == 0) + 1).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def merge(self, parts: list[bytes]) -> tuple[list[str], list[bytes], np.ndarray]:
+        """Ids (joined by spaces), decoded bytes and number of ids of each part."""
+        ids, decoded, sizes = [""] * len(parts), [b""] * len(parts), np.zeros(len(parts), dtype=np.int64)
+        short = [i for i, p in enumerate(parts) if len(p) <= LONG_PIECE]
+        long = [i for i, p in enumerate(parts) if len(p) > LONG_PIECE]
         for some, loop in ((short, _LOOP), (long, _LOOP_LONG)):
             lo = 0
             while lo < len(some):
                 hi, size = lo, 0
-                while hi < len(some) and hi - lo < PIECES_AT_ONCE and (hi == lo or size + len(raws[some[hi]]) <= BYTES_AT_ONCE):
-                    size += len(raws[some[hi]])
+                while hi < len(some) and hi - lo < PIECES_AT_ONCE and (hi == lo or size + len(parts[some[hi]]) <= BYTES_AT_ONCE):
+                    size += len(parts[some[hi]])
                     hi += 1
-                lengths = np.array([len(raws[i]) for i in some[lo:hi]])
+                lengths = np.array([len(parts[i]) for i in some[lo:hi]])
                 owner = np.repeat(np.array(some[lo:hi], dtype=np.int32), lengths)
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                data = np.frombuffer(b"".join(raws[i] for i in some[lo:hi]), dtype=np.uint8)
+                data = np.frombuffer(b"".join(parts[i] for i in some[lo:hi]), dtype=np.uint8)
                 self._make("start", {"w": owner, "p": place.astype(np.int32), "t": self.byte_ids[data]})
-                found = self.con.sql(loop + _ENDS).to_arrow_table()
-                which = found["piece"].to_numpy()
-                sizes[which] = found["n"].to_numpy()
-                for w, tokens, decoded in zip(which.tolist(), found["ids"].to_pylist(), found["parts"].to_pylist(), strict=True):
-                    ids[w], parts[w] = tokens, bytes.fromhex(decoded)
+                self._take(loop + _ENDS, ids, decoded, sizes)
                 lo = hi
+        return ids, decoded, sizes
+
+    def _take(self, query: str, ids: list[str], decoded: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        found = self.con.sql(query).to_arrow_table()
+        which = found["piece"].to_numpy()
+        sizes[which] = found["n"].to_numpy()
+        for w, tokens, parts in zip(which.tolist(), found["ids"].to_pylist(), found["parts"].to_pylist(), strict=True):
+            ids[w], decoded[w] = tokens, bytes.fromhex(parts)
+        return which
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode and decode distinct pieces, in the order of their numbers."""
+        ids, decoded, sizes = [""] * len(pieces), [b""] * len(pieces), np.zeros(len(pieces), dtype=np.int64)
+        raws = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        self._make("pieces", {"piece": np.arange(len(raws), dtype=np.int64), "raw": pa.array(raws, pa.large_binary())})
+        self._take(_WHOLE, ids, decoded, sizes)
+        parts, owner = [], []
+        for i in np.flatnonzero(sizes == 0).tolist():
+            own = self.cut(raws[i]) if len(raws[i]) > LONG_PIECE else [raws[i]]
+            parts += own
+            owner += [i] * len(own)
+        if parts:
+            first = np.flatnonzero(np.diff([-1, *owner]))
+            found = self.merge(parts)
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(parts)], strict=True):
+                i = owner[a]
+                ids[i], decoded[i], sizes[i] = " ".join(found[0][a:b]), b"".join(found[1][a:b]), found[2][a:b].sum()
         self.ids += ids
-        self.bytes += parts
+        self.bytes += decoded
         self.sizes = np.concatenate([self.sizes, sizes])
+        self.held += sum(map(len, raws))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """(number of ids, the ids joined by spaces, the bytes decoded from them) of each text."""
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.forget()
         numbers, seen = [], []
         for text in texts:
@@ -235,7 +283,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     Returns id_col, n_tokens and the outputs asked for: ids, decoded (the bytes decoded
     from them), ids_sha256 and decoded_sha256 (the hex digests of the decimal ids joined by
     spaces and of the decoded bytes).  No shuffle; a task holds one group of CHARS_AT_ONCE
-    characters (or one longer text) and at most REMEMBERED pieces besides.
+    characters (or one longer text) and the pieces it remembers besides.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -14,6 +14,8 @@ def ranks_path() -> str:
     """The vocabulary that the queries use."""
     import public_tokenizers
 
+    if public_tokenizers.PATTERN != bpe.PATTERN:
+        raise ValueError("the vocabulary's splitting pattern isn't the one that bpe.split follows")
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 

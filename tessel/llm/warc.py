@@ -4,9 +4,9 @@ A writer puts each record of its rows into one file that is a single gzip stream
 careless crawler would.  The normaliser inflates such a file once, from front to back,
 rewrites every record as a gzip member of its own and writes a sidecar index of offsets
 and lengths, so that any record can be read without the others.  Files go to the folder
-that the cluster shares, under names of their partition and a random part, so that a task
-that runs again leaves a file nobody lists instead of a broken one; what a task wrote is
-known only from the rows it returns.
+that the cluster shares, under random names, and no task deletes what another may read: a
+task that runs again reads the same input and leaves a file nobody lists.  What a task
+wrote is known only from the rows it returns; the streams go when the members are stored.
 
 Defined results: a null payload counts as empty; rows with a null id get a record each,
 and are neither revisited nor revisit; of repeated rows of one id the payload's smallest
@@ -23,9 +23,10 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import Store, drop, new_path
@@ -37,29 +38,44 @@ ARCHIVE_BYTES, CHUNK = 256 << 20, 1 << 20
 _DATE = "2024-01-01T00:00:00Z"
 
 
-def _open(path: str):
-    """(file system, path) of a URI that all machines can reach."""
+#: Schemes of Hadoop's file systems, and those of the same stores here.
+_SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The URI of a folder, on the file system that Spark would use for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    made = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if made.split(":", 1)[0] not in _SCHEMES:
+        raise ValueError(f"archives can't be written to {made}")
+    return made
+
+
+def _open(uri: str):
+    """(file system, path) of a qualified URI."""
     from pyarrow import fs
 
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.FileSystem.from_uri(path) if path.startswith("file:") else (fs.LocalFileSystem(), path)
+    scheme, rest = uri.split(":", 1)
+    return fs.FileSystem.from_uri(f"{_SCHEMES[scheme]}:{rest if rest.startswith('//') else '//' + rest}")
 
 
 def record(kind: str, uri: str, name: str, payload: bytes, digest: str, size: int, refers_to: str | None = None) -> bytes:
     """One record; digest and size are those of the full payload."""
+    plain = quote(uri, safe="!#$%&'()*+,/:;=?@[]~", errors="surrogatepass")
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
         f"WARC-Date: {_DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Bytes: {size}",
         f"X-Page-Id: {name}",
-        "WARC-Target-URI: " + base64.urlsafe_b64encode(uri.encode("utf-8", "surrogatepass")).decode(),
+        f"WARC-Target-URI: {plain}",
     ]
+    if plain != uri:
+        head.append("X-Target-Base64: " + base64.urlsafe_b64encode(uri.encode("utf-8", "surrogatepass")).decode())
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, refers_to)}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
@@ -80,9 +96,10 @@ class Inflating(io.RawIOBase):
                 self.box = zlib.decompressobj(31)
             data = self.box.unconsumed_tail or self.left or self.source.read(CHUNK)
             self.left = b""
-            if not data:
-                return
-            self.out += self.box.decompress(data, CHUNK)
+            got = self.box.decompress(data, CHUNK)
+            if not data and not got and not self.box.eof:
+                raise ValueError("a gzip stream breaks off")
+            self.out += got
 
     def take(self, n: int) -> bytes:
         self.fill(n)
@@ -173,7 +190,6 @@ def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
                         out.write(member)
                         index.write(f"{offset} {len(member)} {fields['warc-type']} {fields['x-page-id']}\n".encode())
                         offset, n = offset + len(member), n + 1
-                fs.delete_file(f"{base}/{name}")
                 yield pa.RecordBatch.from_pydict({"archive": [new], "members": [n]})
 
     return archives.select("archive").mapInArrow(run, "archive string, members long")
@@ -183,7 +199,7 @@ def read(archives: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
     """The records of normalised archives, each inflated alone from its place in the index.
 
     Returns id, uri, record_type, digest, size, refers_to, payload (empty for revisits).
-    The digest of each response's payload is computed again and must be the stated one.
+    The digest and length of each response's payload must be the stated ones.
     """
 
     def run(batches):
@@ -197,10 +213,10 @@ def read(archives: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
                     for line in lines:
                         offset, length = map(int, line.split(" ")[:2])
                         [(fields, _, payload)] = records(Inflating(io.BytesIO(file.read_at(length, offset))))
-                        if fields["warc-type"] == "response" and f"sha256:{hashlib.sha256(payload).hexdigest()}" != fields["warc-payload-digest"]:
-                            raise ValueError("a payload doesn't have its digest")
+                        if fields["warc-type"] == "response" and (f"sha256:{hashlib.sha256(payload).hexdigest()}" != fields["warc-payload-digest"] or len(payload) != int(fields["x-payload-bytes"])):
+                            raise ValueError("a payload doesn't have its digest or length")
                         number = fields["x-page-id"]
-                        found.append({"id": None if number == "null" else int(number), "uri": base64.urlsafe_b64decode(fields["warc-target-uri"]).decode("utf-8", "surrogatepass"), "record_type": fields["warc-type"], "digest": fields["warc-payload-digest"][7:], "size": int(fields["x-payload-bytes"]), "refers_to": int(fields["x-refers-to-page"]) if "x-refers-to-page" in fields else None, "payload": payload})
+                        found.append({"id": None if number == "null" else int(number), "uri": base64.urlsafe_b64decode(fields["x-target-base64"]).decode("utf-8", "surrogatepass") if "x-target-base64" in fields else fields["warc-target-uri"], "record_type": fields["warc-type"], "digest": fields["warc-payload-digest"][7:], "size": int(fields["x-payload-bytes"]), "refers_to": int(fields["x-refers-to-page"]) if "x-refers-to-page" in fields else None, "payload": payload})
                         held += len(payload)
                         if len(found) == 1000 or held > 8 * CHUNK:
                             yield _batch(found)
@@ -230,7 +246,7 @@ def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id"
     """
     spark = pages.sparkSession
     store = Store(spark, "warc")
-    folder = folder or new_path(spark, "warc-files")
+    folder = qualified(spark, folder or new_path(spark, "warc-files"))
     payload = F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).alias("uri"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     large = rows.where((F.col("size") >= MIN_REVISIT) & F.col("id").isNotNull())

@@ -45,6 +45,27 @@ def test_bpe(spark, encoding):
     assert bpe.encode(docs.limit(0), RANKS).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "etaoinshr", "กขคงจ", "ABCabc01"])
+def test_long_pieces(encoding, letters):
+    rng = random.Random(3)
+    coder = bpe.Coder(RANKS)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (60, 95, 96, 97, 98, 300, 3000)]
+    for text, (n, ids, data) in zip(texts, coder.encode(texts), strict=True):
+        expected = encoding.encode_ordinary(text)
+        assert ids == " ".join(map(str, expected)) and n == len(expected) and data == text.encode()
+
+
+def test_a_very_long_piece_takes_little_time(encoding):
+    import time
+
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    coder, began = bpe.Coder(RANKS), time.perf_counter()
+    [(n, ids, data)] = coder.encode([text])
+    took = time.perf_counter() - began
+    assert ids == " ".join(map(str, encoding.encode_ordinary(text))) and data == text.encode() and took < 30
+
+
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -145,6 +166,27 @@ def test_warc_members_stand_alone(spark, tmp_path):
         list(warc.records(warc.Inflating(io.BytesIO(gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")))))
 
 
+def test_warc_tasks_can_run_again(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i} é", f"<p>{i % 7}" * 50) for i in range(20)], "id long, uri string, html string").coalesce(1)
+    rows = pages.selectExpr("id", "uri", "encode(html, 'UTF-8') as payload", "sha2(html, 256) as digest", "cast(length(html) as long) as size", "cast(null as long) as refers_to")
+    base = warc.qualified(spark, str(tmp_path))
+    assert base.startswith("file:")
+    written = spark.createDataFrame(warc.write(rows, f"{base}/streams").collect(), "archive string, n long")
+    once, again = (spark.createDataFrame(warc.normalise(written, f"{base}/streams", f"{base}/members").collect(), "archive string, members long") for _ in range(2))
+    first, second = (sorted(map(tuple, warc.read(made, f"{base}/members").collect())) for made in (once, again))
+    assert first == second and [(r[0], r[1]) for r in first] == [(i, f"http://h/{i} é") for i in range(20)]
+    with pytest.raises(ValueError, match="can't be written"):
+        warc.qualified(spark, "http://x/y")
+
+
+def test_warc_streams_that_break_off(spark):
+    whole = gzip.compress(b"".join(warc.record("response", "u", str(i), b"abc" * 2000, "d", 6000) for i in range(3)), mtime=0)
+    assert len(list(warc.records(warc.Inflating(io.BytesIO(whole))))) == 3
+    for cut in (len(whole) - 1, len(whole) - 9, len(whole) // 2):
+        with pytest.raises(ValueError, match="breaks off"):
+            list(warc.records(warc.Inflating(io.BytesIO(whole[:cut]))))
+
+
 def near(a, b):
     """Within one insertion, deletion, change or swap of neighbours."""
     if a == b:
