@@ -1,8 +1,9 @@
 """Secrets in texts: fixed patterns, and random strings by a token-efficiency test.
 
 The fixed patterns give the base spans.  Besides, a run of MIN_CHARS or more characters
-of [A-Za-z0-9+/_=-] is a span of kind token when a public vocabulary needs many tokens
-for it: fewer than MAX_RATIO characters for each token, which written words don't reach.
+of [A-Za-z0-9+/_=-] with MIN_KINDS or more different characters is a span of kind token
+when a public vocabulary needs many tokens for it: fewer than MAX_RATIO characters for each
+token, which written words don't reach.  It mustn't overlap a base span.
 Known digests (runs of hexadecimal digits of the lengths of common hashes), UUIDs, names
 made of words (words of the vocabulary, alone or joined by _ - /) and numbers are excluded
 first.
@@ -14,8 +15,9 @@ every row gives a row, repeated rows and null ids too.
 from __future__ import annotations
 
 import base64
-
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +32,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 #: Thresholds of the token-efficiency test.
-MIN_CHARS, MAX_RATIO = 20, 2.0
+MIN_CHARS, MIN_KINDS, MAX_RATIO = 20, 8, 2.0
 #: Letters for each token that the words of a name have at least, in small letters.
 MIN_WORDS_RATIO = 2.5
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
@@ -81,9 +83,13 @@ def excluded(run: str, encoding) -> bool:
 
 def token_spans(text: str, encoding, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Runs with few characters for each token that no base span overlaps."""
-    spans = []
+    spans, starts = [], [a for a, _, _ in base]
+    ends = list(accumulate((b for _, b, _ in base), max))
     for m in CANDIDATE.finditer(text):
-        if len(set(m[0])) < 8 or excluded(m[0], encoding) or any(a < m.end() and m.start() < b for a, b, _ in base):
+        before = bisect_left(starts, m.end())  # base spans that begin before the run ends
+        if before and ends[before - 1] > m.start():
+            continue
+        if len(set(m[0])) < MIN_KINDS or excluded(m[0], encoding):
             continue
         if (m.end() - m.start()) / len(encoding.encode_ordinary(m[0])) < MAX_RATIO:
             spans.append((m.start(), m.end(), "token"))
@@ -155,6 +161,3 @@ def mask(docs: DataFrame, ranks_path: str, text_col: str = "text", length_col: s
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return docs.mapInArrow(run, schema)
-
-
-

@@ -8,9 +8,12 @@ frequent token; a URL meets only the rules filed under one of its tokens, and a
 if the URL has all of its tokens.  The most confident rule decides, then the larger
 support, the longer rule, and block before allow.  URLs without any rule are allowed.
 
-A URL has a bounded number of tokens: the last two labels of the host as names of its
-suffixes, whether the host has more labels, the first two segments of the path (numbers
-stand as #), the names of the first MAX_KEYS query keys, and the scheme.
+The tokens of a URL are all suffixes of its host, whether it has more than two labels, all
+segments of the path with their places (numbers stand as #), the names of all query keys,
+and the scheme.  Tokens count if they are frequent among all labelled rows; of those that
+the same labelled rows hold, one stands for all, so that parts which always come together
+don't multiply the combinations.  The frequent tokens are fewer than the tokens of a URL on
+average divided by the support, however many rows there are.
 
 Defined results: null URLs, and URLs without ://, have an empty host and path, fit no
 rule of the list, and are judged by their tokens alone; an empty table gives an empty one;
@@ -19,6 +22,7 @@ repeated rows give a row each.  Without labelled rows all verdicts are allow.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .store import Store
 
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_KEYS = 0.005, 0.8, 4
+MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.8
 #: Rules sent to all tasks at most; more are joined by a shuffle.
 SENT_RULES = 20_000
 
@@ -56,28 +60,41 @@ def listed(host: F.Column, path: F.Column, rules: Sequence[tuple[str, str, str]]
 
 def tokens(url: F.Column, host: F.Column, path: F.Column) -> F.Column:
     """The distinct tokens of a URL, never null."""
+    none = F.array().cast("array<string>")
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
-    steps = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.regexp_replace(x, r"[0-9]+", "#"))
+    suffixes = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit("suffix:"), F.array_join(F.slice(labels, -i, i), ".")))).otherwise(none)
+    steps = F.filter(F.split(path, "/"), lambda x: x != "")
+    steps = F.transform(steps, lambda x, i: F.concat(F.lit("step"), (i + 1).cast("string"), F.lit(":"), F.regexp_replace(x, r"[0-9]+", "#")))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A[^?#]*\?([^#]*)", 1)
-    keys = F.slice(F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key:"), F.substring_index(x, "=", 1))), 1, MAX_KEYS)
-    scheme = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A([^:/?#]{1,16})://", 1)
-    few = F.array(
-        F.when(n >= 1, F.concat(F.lit("suffix:"), F.element_at(labels, -1))),
-        F.when(n >= 2, F.concat(F.lit("suffix:"), F.array_join(F.slice(labels, -2, 2), "."))),
-        F.when(n >= 3, F.lit("deeper")),
-        F.when(F.size(steps) >= 1, F.concat(F.lit("step1:"), F.get(steps, F.lit(0)))),
-        F.when(F.size(steps) >= 2, F.concat(F.lit("step2:"), F.get(steps, F.lit(1)))),
-        F.when(scheme != "", F.concat(F.lit("scheme:"), _lower(scheme))),
-    )
-    return F.array_distinct(F.array_compact(F.concat(few, keys)))
+    keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key:"), F.substring_index(x, "=", 1)))
+    scheme = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A([^:/?#]+)://", 1)
+    few = F.array(F.when(n >= 3, F.lit("deeper")), F.when(scheme != "", F.concat(F.lit("scheme:"), _lower(scheme))))
+    return F.array_distinct(F.array_compact(F.concat(few, suffixes, steps, keys)))
+
+
+def frequent(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> dict[str, str]:
+    """Each frequent token with the one that stands for all tokens of the same labelled rows."""
+    sets = labelled.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
+    each = sets.select(F.explode("tokens").alias("token"), "n", F.xxhash64("tokens").cast("decimal(38,0)").alias("h"), F.xxhash64("tokens", F.lit(1)).cast("decimal(38,0)").alias("g"))
+    counted = each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.sum("g").alias("g")).where(F.col("n") >= F.lit(min_support * labelled.count()))
+    stands: dict[tuple, str] = {}
+    rows = sorted(counted.collect(), key=lambda r: r.token)
+    return {r.token: stands.setdefault((r.n, r.h, r.g), r.token) for r in rows}
+
+
+def reduced(found: F.Column, names: dict[str, str]) -> F.Column:
+    """The tokens of a URL that count, by the names that stand for them."""
+    if not names:
+        return F.array().cast("array<string>")
+    known = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    return F.array_distinct(F.array_compact(F.transform(found, lambda t: F.try_element_at(known, t))))
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (antecedent, verdict, confidence, support) from rows with tokens and verdict.
 
-    Rows with at most w tokens have fewer than 2 ** w / min_support frequent combinations,
-    whatever their number.
+    Combinations grow with the tokens that one URL holds, not with the number of rows.
     """
     mark = "verdict:"
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(mark), "verdict"))).alias("items"))
@@ -111,8 +128,11 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     read = read.withColumn("listed", listed(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
     read = store.table("read", read.select("id", "host", "path", F.col("listed.rule").alias("rule"), F.col("listed.verdict").alias("verdict"), "tokens"))
     labelled = read.where(F.col("verdict").isNotNull() & (F.size("tokens") > 0))
+    names = frequent(labelled, min_support)
+    read = read.withColumn("tokens", reduced(F.col("tokens"), names))
+    labelled = read.where(F.col("verdict").isNotNull())
     open_sets = store.table("sets", read.where(F.col("verdict").isNull()).groupBy("tokens").agg(F.count(F.lit(1)).alias("n")))
-    if labelled.isEmpty():
+    if not names:
         decided = open_sets.select("tokens", F.lit(None).cast("struct<rank:double,support:double,size:int,block:boolean,verdict:string,antecedent:array<string>>").alias("best"))
     else:
         mined = store.table("mined", mine(labelled, min_support, min_confidence))

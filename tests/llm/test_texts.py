@@ -89,6 +89,8 @@ def test_secrets(spark):
         assert [s for s in found[i].spans.split(",") if s and not s.startswith("token")] == own
         assert (found[i].n_assign, found[i].n_access, found[i].n_hex) == tuple(sum(s.startswith(k) for s in own) for k in ("assign", "access", "hex"))
     assert found[402].spans == "token:4:28" and found[404].spans == found[405].spans == ""
+    many = " ".join(f"AKIA{k:016d} qZ7xV9pLw2KtR8mNc4Yb{k}" for k in range(20_000))
+    assert len(secrets.token_spans(many, secrets._encoding(RANKS), secrets.base_spans(many))) == 20_000
     masked = {r.doc_id: r for r in secrets.mask(docs.withColumnRenamed("spans", "other"), RANKS).collect()}
     assert masked[402].text == "key [token] here" and masked[400].text is None
     assert secrets.report(docs.limit(0), RANKS).count() == 0
@@ -130,6 +132,44 @@ def test_urls(spark):
     assert {r.verdict for r in urls.report(pages.where("page_id >= 300 and page_id <= 303")).collect()} == {"allow"}
 
 
+def tokens_of(url, host, path):
+    labels = [x for x in host.split(".") if x]
+    out = {"suffix:" + ".".join(labels[-i:]) for i in range(1, len(labels) + 1)} | ({"deeper"} if len(labels) >= 3 else set())
+    out |= {f"step{i}:{re.sub('[0-9]+', '#', x)}" for i, x in enumerate((x for x in path.split("/") if x), 1)}
+    out |= {"key:" + x.split("=")[0] for x in url.split("?", 1)[1].split("#")[0].split("&") if x} if "?" in url.split("#")[0] else set()
+    return out | ({"scheme:" + url.split("://")[0].lower()} if "://" in url else set())
+
+
+def test_verdicts_of_urls_without_a_listed_rule(spark):
+    rng = random.Random(14)
+    hosts = ["a.example.net", "b.deep.er.example.net", "net", "shop.net", "example.com", "x.org", "y.org", "z.info", "w.info", "k.q.z.info"]
+    rows = [(i, f"https://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'fr'])}/{rng.choice(['a', 'b'])}/c{rng.choice(['', '/deal', '/deal/9'])}{rng.choice(['', '?p=1', '?a=1&b=2&c=3&d=4&utm=5', '?utm=1'])}") for i in range(240)]
+    found = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), min_support=0.02).collect()}
+    sets = {i: tokens_of(u, found[i].host, found[i].path) for i, u in rows}
+    known = [(sets[i], found[i].verdict) for i, _ in rows if found[i].rule]
+    holders = {t: frozenset(k for k, (s, _) in enumerate(known) if t in s) for s, _ in known for t in s}
+    first = {}
+    names = {t: first.setdefault(holders[t], t) for t in sorted(holders) if len(holders[t]) >= 0.02 * len(known)}
+    short = lambda s: {names[t] for t in s if t in names}
+    known = [(short(s), v) for s, v in known]
+    mined = 0
+    for i, _ in rows:
+        if found[i].rule:
+            continue
+        own, best, held = sorted(short(sets[i])), [], {}
+        for k in range(1, 1 << len(own)):
+            some = {t for j, t in enumerate(own) if k >> j & 1}
+            every = [v for s, v in known if some <= s]
+            for v in set(every):
+                if every.count(v) >= 0.02 * len(known) and every.count(v) >= 0.8 * len(every):
+                    held[frozenset(some), v] = every.count(v) / len(every)
+                    best.append((every.count(v) / len(every), every.count(v), len(some), v == "block", v, sorted(some)))
+        best = [r for r in best if not any(s < set(r[5]) and v == r[4] and c >= r[0] for (s, v), c in held.items())]
+        assert (found[i].verdict, found[i].mined) == (max(best)[4:] if best else ("allow", None))
+        mined += bool(best)
+    assert mined > 20
+
+
 def test_mined_rules_need_confidence_and_are_pruned(spark):
     rows = [(["a", "b"], "block")] * 40 + [(["a", "c"], "allow")] * 40 + [(["b", "d"], "block")] * 20 + [(["e"], "allow"), (["e"], "block")] * 10
     rules = {tuple(r.antecedent): r.verdict for r in urls.prune(urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))).collect()}
