@@ -16,6 +16,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
     parser.add_argument("action", choices=("info", "verify", "compact", "vacuum"))
     parser.add_argument("path")
     parser.add_argument("--retain", type=int, default=1, help="versions that vacuum keeps")
+    parser.add_argument("--min-age", type=float, default=3600.0, help="seconds that vacuum spares young folders for")
     asked = parser.parse_args(args)
     spark = spark or SparkSession.builder.getOrCreate()
     db = Database(spark, asked.path, "read_only" if asked.action in ("info", "verify") else "open_existing")
@@ -36,7 +37,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
             db.compact(name)
         out["version"] = db.version
     else:
-        out["deleted"] = db.vacuum(asked.retain)
+        out["deleted"] = db.vacuum(asked.retain, asked.min_age)
     return out
 
 

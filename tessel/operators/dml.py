@@ -62,8 +62,14 @@ def splice(into: DataFrame, source: DataFrame, key: str, low=None, high=None) ->
     return range_delete(into, key, low, high).unionByName(source.where(between(F.col(key), low, high)))
 
 
+def replace(base: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
+    """The state after a get-and-set: a row that comes takes the place of its key's, a null new value deletes."""
+    kept = base.join(rows.select(key), key, "left_anti")
+    return kept.unionByName(rows.where(F.col(value).isNotNull()).select(*base.columns))
+
+
 def replace_returning(base: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
-    """key, old and new value of each row that comes; a null new value deletes."""
+    """key, old and new value of each row that comes; replace() gives the state after it."""
     return rows.select(key, F.col(value).alias("new")).join(base.select(key, F.col(value).alias("old")), key, "left").select(key, "old", "new")
 
 
@@ -79,6 +85,16 @@ def violations_unique(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return full.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def check_rows(df: DataFrame, not_null: Sequence[str] = (), checks: Mapping[str, str] | None = None) -> None:
+    """Raise if a row has a null where none may be, or fails a condition; one pass over df."""
+    faults = [F.count(F.when(F.col(c).isNull(), 1)).alias(f"{c} has nulls") for c in dict.fromkeys(not_null)]
+    faults += [F.count(F.when(~F.expr(text), 1)).alias(f"check {name} fails") for name, text in (checks or {}).items()]
+    if faults:
+        for name, n in df.agg(*faults).first().asDict().items():
+            if n:
+                raise ConstraintError(f"{name} ({n} rows)")
+
+
 def check_constraints(df: DataFrame, not_null: Sequence[str] = (), unique: Sequence[Sequence[str]] = ()) -> None:
     """Raise if a state breaks a constraint."""
     if not_null:
