@@ -25,7 +25,10 @@ def scan(df: DataFrame, *keys: str, reverse: bool = False) -> DataFrame:
 
 
 def multi_get(keys: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """Each asked key with its row, and found; keys that aren't there keep null columns."""
+    """Each asked key with its row, and found; keys that aren't there keep null columns.
+
+    Other columns of keys, such as the number of the request, stay beside them.
+    """
     there = df.withColumn("found", F.lit(True))
     return keys.join(there, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
@@ -109,3 +112,24 @@ def as_of(probes: DataFrame, points: DataFrame, by: str, at: str, point_at: str,
 def tree_stats(df: DataFrame, *columns: str) -> DataFrame:
     """Rows, and bytes of the given text columns."""
     return df.agg(F.count(F.lit(1)).alias("n_keys"), *(F.sum(F.octet_length(c)).alias(f"{c}_bytes") for c in columns))
+
+
+def is_subtree(df: DataFrame, value: str) -> Column:
+    """True where a value is a nested table (struct, array or map) and not null."""
+    kind = df.schema[value].dataType.simpleString()
+    return F.col(value).isNotNull() & F.lit(kind.startswith(("struct", "array", "map")))
+
+
+def subtree(df: DataFrame, key: str, value: str, at) -> DataFrame:
+    """The rows of the table nested under a key."""
+    return get(df, **{key: at}).select(F.inline(value))
+
+
+def put_subtree(df: DataFrame, key: str, value: str, at, rows: DataFrame, by: str) -> DataFrame:
+    """df with rows nested under a key, sorted by a column of theirs, in place of what it held.
+
+    One value holds the whole nested table, so it must fit a row.
+    """
+    names = [by, *(c for c in rows.columns if c != by)]
+    nested = rows.agg(F.array_sort(F.collect_list(F.struct(*names))).alias(value)).select(F.lit(at).cast(df.schema[key].dataType).alias(key), value)
+    return df.where(~F.col(key).eqNullSafe(F.lit(at))).unionByName(nested, allowMissingColumns=True)

@@ -7,14 +7,19 @@ operators are DataFrame plans beside their SQL.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import decode_key as codec
 from ..functions.keys import memcomparable_key
-from ..operators import dml, kv, multimap, resolve
+from ..operators import dml, kv, multimap, resolve, spans
 from ..operators.txn import Staged
+from ..sources.database import Database
+from ..sources.files import shared_dir
+from ..sources.wal import Log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +40,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+def scratch(t: Tables) -> Database:
+    """A new database in the folder that all machines share."""
+    return Database(t.spark, f"{shared_dir(t.spark)}/tessel/db-{uuid.uuid4().hex}")
+
+
 def both(name: str, sql: str) -> None:
     """A query that is the same SQL in both engines."""
     import re
@@ -105,8 +115,10 @@ def pk_range(t):
 
 @query(f"select {_O} from orders where o_custkey = 37")
 def index_lookup(t):
-    index = t.orders.select("o_custkey", "o_orderkey")
-    return t.orders.join(kv.get(index, o_custkey=37).select("o_orderkey"), "o_orderkey", "left_semi").select(*ORDER_COLUMNS)
+    db = scratch(t)
+    db.create_table("orders", t.orders.select(*ORDER_COLUMNS), primary_key=["o_orderkey"])
+    db.create_index("orders", "by_customer", ["o_custkey"])
+    return db.lookup("orders", "by_customer", 37)
 
 
 @query("select o_orderkey, o_totalprice from orders where o_orderkey = 4242", "kv_get")
@@ -235,7 +247,8 @@ both("recursive_cte", "with recursive up(k, root) as (select n_nationkey, n_nati
 
 @query("select cast(quantile_cont(o_totalprice, 0.5) as double) as p50, cast(quantile_cont(o_totalprice, 0.99) as double) as p99, cast(quantile_cont(o_totalprice, 0.999) as double) as p999 from orders")
 def percentiles(t):
-    return t.orders.agg(*(F.percentile("o_totalprice", p).alias(n) for p, n in ((0.5, "p50"), (0.99, "p99"), (0.999, "p999"))))
+    found = spans.percentiles(t.orders, "o_totalprice", [0.5, 0.99, 0.999])
+    return t.spark.createDataFrame([tuple(found)], "p50 double, p99 double, p999 double")
 
 
 # ---- layers and versions ----------------------------------------------------------------
@@ -340,9 +353,45 @@ def coalesce_ranges(t):
     return resolve.coalesce_ranges(t.events.select("user_id", F.col("event_id").alias("lo"), (F.col("event_id") + 200).alias("hi")), ["user_id"])
 
 
-@query(f"select count(*) as n, round(sum(v), 2) as total from ({_newest(_LAYERS)}) x")
+def layered(t: Tables) -> Database:
+    """A database whose table k, v holds the layers as a base and two writes to its log."""
+    db = scratch(t)
+    (_, base), (_, frozen), (_, in_use) = layers(t)
+    db.create_table("t", base.drop("op"), primary_key=["k"])
+    db.write_changes("t", frozen.withColumnRenamed("op", "_op"))
+    db.write_changes("t", in_use.withColumnRenamed("op", "_op"), [(5000, 5050)])
+    return db
+
+
+_DRAINED = f"select * from ({_BASE}) a where not (k >= 5000 and k < 5050) union all select * from ({_FROZEN}) b where not (k >= 5000 and k < 5050) union all {_IN_USE}"
+
+
+@query(_newest(_DRAINED))
 def compaction(t):
-    return resolve.merge(layers(t), "k").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"))
+    db = layered(t)
+    db.compact("t")
+    return db.layered("t", "trie")
+
+
+@query(" union all ".join(f"select '{m}' as read_mode, k, v from ({q}) x where k = 77 or k = 5005 or k = 143" for m, q in (("trie", _newest(_BASE)), ("latest", _newest(_DRAINED)))))
+def layered_get(t):
+    db = layered(t)
+    return functools.reduce(DataFrame.unionByName, (db.get("t", mode, k=k).select(F.lit(mode).alias("read_mode"), "k", "v") for mode in ("trie", "latest") for k in (77, 5005, 143)))
+
+
+_SEGMENTS = "select *, 0 as segment from (select o_orderkey % 3000 as key, o_totalprice as value, o_orderkey as seq, o_orderkey // 8 as tx_id, o_orderkey % 6 <> 0 as is_put, o_orderkey % 8 >= 6 as is_commit from orders where o_orderkey % 2 = 0) a union all select *, 1 from (select o_orderkey % 3000 as key, o_totalprice + 1 as value, o_orderkey as seq, o_orderkey // 8 + 100000000 as tx_id, o_orderkey % 5 <> 0 as is_put, o_orderkey % 8 >= 5 as is_commit from orders where o_orderkey % 2 = 1) b"
+
+
+@query(f"select key, value from (select *, row_number() over (partition by key order by segment desc, seq desc) as rn from ({_SEGMENTS}) x where tx_id in (select tx_id from ({_SEGMENTS}) y group by tx_id having bool_or(is_commit))) where rn = 1 and is_put")
+def wal_append(t):
+    db = scratch(t)
+    db.sql("create table accounts (key bigint primary key, value double)").collect()
+    log, k = Log(db), F.col("o_orderkey")
+    for turn, (rest, put, commit) in enumerate(((0, k % 6 != 0, k % 8 >= 6), (1, k % 5 != 0, k % 8 >= 5))):
+        entries = t.orders.where(k % 2 == rest).select(k.alias("seq"), (F.floor(k / 8) + turn * 100_000_000).alias("tx_id"), F.lit("accounts").alias("root"), F.when(put, "put").otherwise("del").alias("op"), (k % 3000).alias("key"), (F.col("o_totalprice") + turn).alias("value"), F.lit(1).alias("participants"), commit.alias("is_commit"))
+        log.append(entries)
+    log.replay()
+    return db.table("accounts")
 
 
 # ---- mutations and constraints ----------------------------------------------------------
@@ -365,6 +414,14 @@ def upsert(t):
     return dml.upsert(account(t), coming(t), ["k"])
 
 
+@query(f"select k, v + 1 as v from ({_COME}) x union all select * from ({_A}) a where k not in (select k from ({_COME}) b)")
+def insert(t):
+    db = scratch(t)
+    db.create_table("account", account(t), primary_key=["k"])
+    db.insert("account", coming(t).unionByName(coming(t).withColumn("v", F.col("v") + 1)))
+    return db.table("account")
+
+
 @query(f"{_A} union all select * from ({_COME}) a where k not in (select k from ({_A}) b)")
 def insert_or_ignore(t):
     return dml.insert_or_ignore(account(t), coming(t), ["k"])
@@ -425,10 +482,11 @@ def nested_txn(t):
 
 @query(f"select 'account' as name, count(*) as n, round(sum(v), 2) as total from ({_A}) a union all select 'fork', count(*), round(sum(v), 2) from ({_A}) a where v > 0")
 def snapshot_fork(t):
-    staged = Staged({"account": account(t)})
-    staged.fork("account", "fork")
-    staged["fork"] = dml.delete_where(staged["fork"], F.col("v") <= 0)
-    return functools.reduce(DataFrame.unionByName, (staged[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total")) for n in ("account", "fork")))
+    db = scratch(t)
+    db.create_table("account", account(t), primary_key=["k"])
+    db.fork("account", "fork")
+    db.delete("fork", F.col("v") <= 0)
+    return functools.reduce(DataFrame.unionByName, (db.table(n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total")) for n in ("account", "fork")))
 
 
 @query("select 'value' as column_name, count(*) as n from events where event_id % 10 = 0 having count(*) > 0")
@@ -468,7 +526,7 @@ def cursor_next_prev(t):
 
 @query(f"select k, lead(k) over (order by k) as next_key, lead(f) over (order by k) as next_first from (select k, min(v) as f from ({_PAIRS}) p group by k)")
 def dup_next_nodup(t):
-    return multimap.next_key(pairs(t), "k", "v", 1024)
+    return multimap.next_key(pairs(t), "k", "v")
 
 
 @query(f"select k, v from ({_PAIRS}) p where k >= 500 order by k, v limit 1")
@@ -523,6 +581,102 @@ def tatp_new_destination(t):
 
 
 both("bank_validate", "select count(*) as n_rows, sum(case when kind = 'account' then 1 else 0 end) as n_accounts, sum(case when kind = 'log' then 1 else 0 end) as n_log, round(sum(case when kind = 'account' then amount else 0 end), 2) as balance from (select 'account' as kind, c_acctbal as amount from customer union all select 'log', o_totalprice from orders)")
-both("view", "select o_orderkey, o_totalprice from (select * from orders where o_orderpriority = '1-URGENT') v where o_totalprice > 1000")
-both("alter_add_column", "select c_custkey, c_name as customer_name, cast(null as varchar(10)) as note from customer")
-both("ctas", "select o_custkey, count(*) as n_orders from orders group by o_custkey")
+@query("select o_orderkey, o_totalprice from orders where o_orderpriority = '1-URGENT' and o_totalprice > 1000")
+def view(t):
+    db = scratch(t)
+    db.create_table("orders", t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority"), primary_key=["o_orderkey"])
+    db.sql("create view urgent as select * from orders where o_orderpriority = '1-URGENT'").collect()
+    return db.sql("select o_orderkey, o_totalprice from urgent where o_totalprice > :low", {"low": 1000})
+
+
+@query("select c_custkey, c_name as customer_name, cast(null as varchar(10)) as note from customer")
+def alter_add_column(t):
+    db = scratch(t)
+    db.create_table("customer", t.customer.select("c_custkey", "c_name"), primary_key=["c_custkey"])
+    for text in ("alter table customer rename column c_name to customer_name", "alter table customer add column note varchar(10)"):
+        db.sql(text).collect()
+    return db.table("customer")
+
+
+@query("select o_custkey, count(*) as n_orders from orders group by o_custkey")
+def ctas(t):
+    db = scratch(t)
+    db.create_table("orders", t.orders.select("o_orderkey", "o_custkey"), primary_key=["o_orderkey"])
+    db.sql("create table by_customer as select o_custkey, count(*) as n_orders from orders group by o_custkey").collect()
+    return db.table("by_customer")
+
+
+@query("select c_custkey, c_acctbal + 1 as c_acctbal from customer where c_nationkey < 10 and not (c_custkey >= 100 and c_custkey < 120) union all select c_custkey, c_acctbal from customer where c_nationkey >= 15 and not (c_custkey >= 100 and c_custkey < 120)")
+def sql_dml(t):
+    db = scratch(t)
+    db.create_table("customer", t.customer.select("c_custkey", "c_acctbal", "c_nationkey"), primary_key=["c_custkey"])
+    db.sql("update customer set c_acctbal = c_acctbal + :more where c_nationkey < 10", {"more": 1}).collect()
+    db.sql("delete from customer where c_nationkey in (select distinct c_nationkey from customer where c_nationkey between 10 and 14)").collect()
+    db.remove_range("customer", "c_custkey", 100, 120)
+    return db.table("customer").select("c_custkey", "c_acctbal")
+
+
+# ---- put flags, cursor moves, codecs, subtrees, more aggregates --------------------------
+
+_NEW_PAIRS = "select distinct l_orderkey as k, l_linenumber + 2 as v from lineitem where l_orderkey % 3 = 0 union select -1, 1"
+
+
+@query(f"""with p as ({_PAIRS}), n as ({_NEW_PAIRS})
+select 'upsert' as flag, k, v from (select * from p union select * from n) union all
+select 'nooverwrite', k, v from (select * from p union all select * from n where k not in (select k from p)) union all
+select 'nodupdata', k, v from (select * from p union all (select * from n except select * from p)) union all
+select 'alldups', k, v from (select * from p where k not in (select k from n) union all select * from n) union all
+select 'current', k, v from (select * from (select p.* from p left join (select k, max(v) as m from p where k in (select k from n) group by k) x on p.k = x.k and p.v = x.m where x.k is null) union select * from n)""")
+def dup_put_flags(t):
+    more = t.lineitem.where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") + 2).alias("v")).unionByName(t.spark.sql("select -1 as k, 1 as v"))
+    return functools.reduce(DataFrame.unionByName, (multimap.put(pairs(t), more, "k", "v", flag).select(F.lit(flag).alias("flag"), F.col("k").cast("long").alias("k"), F.col("v").cast("long").alias("v")) for flag in multimap.FLAGS))
+
+
+@query(f"""select * from (select 'lower' as move, k, v from ({_PAIRS}) p where (k, v) >= (9, 2) order by k, v limit 1) union all
+select * from (select 'upper', k, v from ({_PAIRS}) p where (k, v) > (9, 2) order by k, v limit 1) union all
+select * from (select 'prev', k, v from ({_PAIRS}) p where (k, v) < (9, 2) order by k desc, v desc limit 1) union all
+select * from (select 'first', k, v from ({_PAIRS}) p where k = 9 order by v limit 1) union all
+select * from (select 'last', k, v from ({_PAIRS}) p where k = 9 order by v desc limit 1)""")
+def dup_set_lowerbound(t):
+    p = pairs(t)
+    moves = {"lower": multimap.set_lowerbound(p, "k", "v", 9, 2), "upper": multimap.set_upperbound(p, "k", "v", 9, 2), "prev": multimap.move_prev(p, "k", "v", 9, 2), "first": multimap.first_dup(p, "k", "v", 9), "last": multimap.last_dup(p, "k", "v", 9)}
+    return functools.reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("move"), "k", "v") for name, df in moves.items()))
+
+
+@query("select c_custkey, c_name, c_acctbal, c_nationkey from customer")
+def decode_key(t):
+    kinds = {n: k for n, k in t.customer.dtypes if n in ("c_custkey", "c_name", "c_acctbal", "c_nationkey")}
+    keyed = t.customer.select(memcomparable_key(t.customer, *kinds).alias("key"))
+    return keyed.select(*codec(F.col("key"), **kinds)).select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+
+
+@query("select c_custkey, rank() over (partition by c_nationkey order by c_acctbal) as by_key from customer")
+def double_key(t):
+    keyed = t.customer.withColumn("key", memcomparable_key(t.customer, "c_acctbal"))
+    return keyed.select("c_custkey", F.rank().over(Window.partitionBy("c_nationkey").orderBy("key")).alias("by_key"))
+
+
+@query("select n_nationkey, n_name from nation where n_regionkey = 2 union all select n_nationkey + 100, n_name from nation where n_regionkey = 3")
+def subtrees(t):
+    trees = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))
+    moved = t.nation.where("n_regionkey = 3").select((F.col("n_nationkey") + 100).cast(dict(t.nation.dtypes)["n_nationkey"]).alias("n_nationkey"), "n_name")
+    trees = kv.put_subtree(trees, "n_regionkey", "nations", 3, moved, "n_nationkey").where(kv.is_subtree(trees, "nations"))
+    return kv.subtree(trees, "n_regionkey", "nations", 2).unionByName(kv.subtree(trees, "n_regionkey", "nations", 3))
+
+
+@query(f"select * from ({_A}) a where k not in (select k from ({_COME}) b) union all select k, v from ({_COME}) c where k % 4 <> 0")
+def replace(t):
+    come = coming(t).withColumn("v", F.when(F.col("k") % 4 != 0, F.col("v")))
+    return dml.replace(account(t), come, "k", "v")
+
+
+both("cube", "select l_returnflag, l_linestatus, grouping(l_returnflag) as g, grouping(l_linestatus) as h, count(*) as n from lineitem group by cube (l_returnflag, l_linestatus)")
+both("range_frame", "select o_orderkey, count(*) over (partition by o_custkey order by o_orderkey range between 500 preceding and 500 following) as near from orders")
+both("set_ops_all", "(select o_orderstatus as s, o_custkey % 5 as k from orders except all select 'F', c_custkey % 5 from customer) union all (select c_nationkey || '', c_custkey % 3 from customer intersect all select s_nationkey || '', s_suppkey % 3 from supplier)")
+both("date_functions", "select o_orderkey, date_trunc('month', o_orderdate) as month, o_orderdate + interval 30 day as due, year(o_orderdate) as y, month(o_orderdate) as m from orders")
+
+
+@query("select l_returnflag, true as near from lineitem group by l_returnflag")
+def approx_distinct(t):
+    counted = t.lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("a"), F.countDistinct("l_orderkey").alias("e"))
+    return counted.select("l_returnflag", (F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("near"))
