@@ -87,11 +87,18 @@ def decode_part(key: Column, kind: str) -> tuple[Column, Column]:
 
 
 def decode_key(key: Column, **kinds: str) -> list[Column]:
-    """The columns that memcomparable_key put into a key, by name and type in their order."""
+    """The columns that memcomparable_key put into a key, by name and type in their order.
+
+    Each part is bound to a variable before it is cut, so that expressions don't multiply.
+    """
+
+    def part(kind: str, which: int) -> Column:
+        return F.transform(F.array(key), lambda k: decode_part(k, kind)[which])[0]
+
     out = []
     for name, kind in kinds.items():
-        value, key = decode_part(key, kind)
-        out.append(value.alias(name))
+        out.append(part(kind, 0).alias(name))
+        key = part(kind, 1)
     return out
 
 

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.resolve import newest
 from ..sources.database import Database
 
 
-def upsert_stream(stream: DataFrame, database: Database, table: str, order: list[str], checkpoint: str, name: str | None = None, once: bool = False, interval: str = "1 second") -> StreamingQuery:
+def read_files(spark: SparkSession, folder: str, schema: StructType | str, max_files: int = 100, kind: str = "parquet") -> DataFrame:
+    """A stream of a folder's files; max_files bounds what one batch takes on."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(kind).load(folder)
+
+
+def upsert_stream(stream: DataFrame, database: Database, table: str, order: list[str], checkpoint: str, name: str | None = None, once: bool = False, interval: str = "1 second", max_log: int = 8) -> StreamingQuery:
     """Start a query that keeps the table at the newest row of each key.
 
+    A batch that finds max_log folders in the table's log drains them first, so that
+    reads stay cheap; the source waits meanwhile.
+
     order: columns that tell which of a batch's rows of one key is the newest.  A batch
     that runs again after a failure is known by its number and leaves no second trace.
     """
@@ -21,6 +30,9 @@ def upsert_stream(stream: DataFrame, database: Database, table: str, order: list
     source = name or table
 
     def put(rows: DataFrame, batch_id: int) -> None:
+        database.refresh()
+        if len(database.manifest["tables"][table]["log"]) >= max_log:
+            database.compact(table)
         database.apply_batch(table, source, batch_id, newest(rows, keys[0], order))
 
     writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)

@@ -299,3 +299,38 @@ def test_key_value_store_writes_only_its_batch(spark, db):
     blobs.write([("put", b"\x01", b"x"), ("put", b"\x02", b"y")])
     blobs.delete_range(b"\x00", b"\x02")
     assert [(bytes(k), bytes(v)) for k, v in blobs.iterate()] == [(b"\x02", b"y")]
+
+
+def test_log_replay(spark, db):
+    from tessel.sources.wal import Log
+
+    for name in ("a", "b"):
+        db.create_table(name, StructType.fromDDL("key int, value string"), primary_key=["key"])
+    log = Log(db)
+    shape = "seq int, tx_id int, root string, op string, key int, value string, participants int, is_commit boolean"
+    entry = lambda *rows: log.append(spark.createDataFrame(list(rows), shape))
+    assert log.replay() == db.version
+    entry((1, 1, "a", "put", 1, "x", 2, False), (2, 1, "b", "put", 1, "y", 2, True), (3, 2, "a", "put", 2, "never", 2, False))
+    entry((1, 3, "a", "put", 1, "x2", 1, True), (2, 4, "a", "put", 3, "gone", 1, False), (3, 4, "a", "del", 3, None, 1, True))
+    before = db.version
+    assert log.replay() == before + 1 and log.applied == 1
+    assert rows(db.table("a")) == [(1, "x2")] and rows(db.table("b")) == [(1, "y")]
+    assert log.replay() == before + 1 and log.truncate() == 2 and log.entries(log.applied) is None
+    entry((1, 9, "b", "del", 1, None, 1, True))
+    # a crash between the replay and its version leaves nothing behind
+    again = Log(open_database(spark, db.path))
+    again.replay()
+    db.refresh()
+    assert db.table("b").count() == 0 and log.segments[-1] == 2 == log.applied
+
+
+def test_streams_take_bounded_batches(spark, db, tmp_path):
+    from tessel.streaming.ingest import read_files
+
+    db.create_table("u", StructType.fromDDL("id int, name string, age int"), primary_key=["id"])
+    for i in range(6):
+        users(spark, (i % 2, "a", i)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    query = upsert_stream(read_files(spark, f"{tmp_path}/in", "id int, name string, age int", 1), db, "u", ["age"], f"{tmp_path}/checkpoint", once=True, max_log=2)
+    query.awaitTermination()
+    db.refresh()
+    assert len(query.recentProgress) >= 6 and db.manifest["batches"]["u"] == 5 and len(db.manifest["tables"]["u"]["log"]) <= 2 and db.table("u").count() == 2

@@ -5,10 +5,11 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessel.functions.keys import common_prefix, memcomparable_key, prefix_successor, text_successor
-from tessel.operators import dml, kv, multimap, resolve
+from tessel.functions.keys import common_prefix, decode_key, memcomparable_key, prefix_successor, text_successor
+from tessel.operators import dml, kv, multimap, resolve, spans
 from tessel.operators.txn import Staged
 
 
@@ -123,3 +124,87 @@ def test_nested_transactions(spark):
     assert "t" not in staged
     staged.commit()
     assert staged.changes == {"t": None}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def covered(ranges, k):
+    return max((o for lo, hi, o in ranges if lo <= k < hi), default=None)
+
+
+@pytest.mark.parametrize("span", [5, 20_000])
+def test_disjoint_ranges(spark, monkeypatch, span):
+    monkeypatch.setattr(resolve, "RANGES", span)
+    rng = random.Random(1)
+    ranges = [(lo := rng.randrange(500), lo + rng.choice([0, 1, 5, 20, 300]), rng.randrange(6)) for _ in range(120)]
+    pieces = sorted(map(tuple, resolve.flatten(spark.createDataFrame(ranges, "lo int, hi int, prio int")).collect()))
+    assert all(a[1] <= b[0] for a, b in zip(pieces[:-1], pieces[1:], strict=True))
+    assert [covered(pieces, k) for k in range(900)] == [covered(ranges, k) for k in range(900)]
+    words = [(f"k{lo:03}", f"k{hi:03}", o) for lo, hi, o in ranges]
+    monkeypatch.setattr(resolve, "PIECES", 0)
+    entries = spark.createDataFrame([(f"k{k:03}", k % 6) for k in range(0, 900)] + [(None, 1)], "k string, prio int")
+    left = {r.k for r in resolve.outside(entries, spark.createDataFrame(words, "lo string, hi string, prio int"), "k").collect()}
+    assert left == {f"k{k:03}" for k in range(900) if (covered(ranges, k) or 0) <= k % 6} | {None}
+
+
+def test_many_ranges_need_no_nested_loop(spark):
+    ranges = spark.range(100_000).selectExpr("id * 10 as lo", "id * 10 + 4 as hi", "cast(id % 3 as int) as prio")
+    entries = spark.range(1_000_000).selectExpr("id as k", "0 as prio")
+    left = resolve.outside(entries, ranges, "k")
+    assert "NestedLoop" not in plan(left) and "SinglePartition" not in plan(left) and "CartesianProduct" not in plan(left)
+    assert left.count() == 1_000_000 - 4 * sum(i % 3 > 0 for i in range(100_000))
+    following = multimap.next_key(entries.where("k % 2 = 0"), "k", "prio")
+    assert "NestedLoop" not in plan(following) and "SinglePartition" not in plan(following)
+    assert following.where("next_key = k + 2").count() == 499_999
+
+
+def test_percentiles(spark):
+    rng = random.Random(2)
+    values = [round(rng.gauss(0, 100), 1) for _ in range(3000)] + [5.0] * 2000
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = spans.percentiles(df, "v", [0.0, 0.25, 0.5, 0.999, 1.0], few=50)
+    expected = df.agg(*(F.percentile("v", p) for p in (0.0, 0.25, 0.5, 0.999, 1.0))).first()
+    assert [round(x, 9) for x in got] == [round(x, 9) for x in expected]
+    assert spans.percentiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_keys_keep_order_and_come_back(spark):
+    from decimal import Decimal
+
+    rng = random.Random(3)
+    texts = ["", "a", "a\x00", "a\x00b", "a\x01", "b", "é", "\x00\x00", "zz", None]
+    numbers = [0.0, -0.0, 1.5, -1.5, 1e300, -1e300, 5e-324, float("inf"), float("-inf"), float("nan"), None]
+    rows = [(i, rng.choice(texts), x := rng.choice(numbers), x if x is None or abs(x) < 1e30 or x != x else None, None if rng.random() < 0.1 else Decimal(rng.randrange(-10**6, 10**6)) / 100, rng.choice([True, False, None]), rng.choice([None, bytes([rng.randrange(3)] * rng.randrange(4))]), rng.randrange(-9, 9) * (1 << 58), rng.randrange(-128, 128)) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, s string, d double, f float, m decimal(10,2), b boolean, y binary, l long, t byte").withColumn("day", F.date_add(F.lit("1970-01-01"), F.col("t").cast("int") * 300)).withColumn("at", F.timestamp_micros(F.col("l") % 10**15))
+    for name, kind in df.dtypes:
+        keyed = df.select(name, memcomparable_key(df, name).alias("k"))
+        odd = keyed.select(F.dense_rank().over(Window.orderBy(F.col(name).asc_nulls_first())).alias("a"), F.dense_rank().over(Window.orderBy("k")).alias("b")).where("a <> b")
+        assert odd.isEmpty(), name
+    kinds = dict(df.dtypes)
+    back = df.select(F.struct(*(F.when(F.col(c) == 0, F.lit(0).cast(k)).otherwise(F.col(c)).alias(c) if k in ("float", "double") else F.col(c) for c, k in df.dtypes)).alias("old"), F.struct(*decode_key(memcomparable_key(df, *kinds), **kinds)).alias("new"))
+    assert back.where(~F.col("old").eqNullSafe(F.col("new"))).collect() == []
+    with pytest.raises(TypeError):
+        memcomparable_key(spark.sql("select cast(1 as decimal(30,2)) as x"), "x")
+
+
+def test_put_flags_and_moves(spark):
+    pairs = spark.createDataFrame([(1, 1), (1, 3), (2, 5)], "k int, v int")
+    more = spark.createDataFrame([(1, 3), (1, 4), (9, 9)], "k int, v int")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(multimap.put(pairs, more, "k", "v")) == [(1, 1), (1, 3), (1, 4), (2, 5), (9, 9)]
+    assert rows(multimap.put(pairs, more, "k", "v", "nooverwrite")) == [(1, 1), (1, 3), (2, 5), (9, 9)]
+    assert rows(multimap.put(pairs, more, "k", "v", "alldups")) == [(1, 3), (1, 4), (2, 5), (9, 9)]
+    for flag in ("nooverwrite", "nodupdata"):
+        with pytest.raises(dml.ConstraintError):
+            multimap.put(pairs, more, "k", "v", flag, strict=True)
+    assert rows(multimap.set_lowerbound(pairs, "k", "v", 1, 2)) == [(1, 3)] and rows(multimap.set_upperbound(pairs, "k", "v", 1, 3)) == [(2, 5)]
+    assert rows(multimap.move_next(pairs, "k", "v", 1, 3)) == [(2, 5)] and rows(multimap.move_prev(pairs, "k", "v", 2, 5)) == [(1, 3)]
+    assert rows(multimap.first_dup(pairs, "k", "v", 1)) == [(1, 1)] and rows(multimap.last_dup(pairs, "k", "v", 1)) == [(1, 3)]
+    assert rows(multimap.get_current(pairs, "k", "v", 1, 3)) == [(1, 3)]
+
+
+def test_comparisons_with_the_constant_first_reach_the_scan(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert "LessThan(o_orderkey,5)" in plan(orders.where("5 > o_orderkey").select("o_orderkey"))
