@@ -32,7 +32,7 @@ from .text import as_strings
 #: Fixed value: the splitting pattern that split() follows.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces, and bytes of them, that a worker remembers.
-REMEMBERED, REMEMBERED_BYTES = 250_000, 16_000_000
+REMEMBERED, REMEMBERED_BYTES = 350_000, 16_000_000
 #: Pieces and bytes in one DuckDB query, and characters of the texts that are split together.
 PIECES_AT_ONCE, BYTES_AT_ONCE, CHARS_AT_ONCE = 60_000, 1_000_000, 4_000_000
 #: Longer pieces are cut, and longer parts contract all occurrences of their least pair.
@@ -164,9 +164,22 @@ class Coder:
         self.number: dict[str, int] = {}
         self.ids: list[str] = []
         self.bytes: list[bytes] = []
-        self.sizes = np.zeros(0, dtype=np.int64)
+        self.sizes, self.uses = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.held = 0
 
+    def thin(self) -> None:
+        """Forget all but the pieces met most often, half of REMEMBERED at most."""
+        pieces, ids, data, sizes, uses = list(self.number), self.ids, self.bytes, self.sizes, self.uses
+        self.forget()
+        kept = np.flatnonzero(uses > 1)
+        if len(kept) > REMEMBERED // 2:
+            kept = np.sort(kept[np.argpartition(-uses[kept], REMEMBERED // 2)[: REMEMBERED // 2]])
+        kept = [k for k in kept.tolist() if len(pieces[k]) <= LONG_PIECE]
+        self.number = {pieces[k]: i for i, k in enumerate(kept)}
+        self.ids, self.bytes, self.sizes = [ids[k] for k in kept], [data[k] for k in kept], sizes[kept]
+        self.uses = np.zeros(len(kept), dtype=np.int64)
+        self.held = sum(map(len, self.bytes))
+
     def cut(self, raw: bytes) -> list[bytes]:
         """A piece in parts that no token spans."""
         if self.spans is None:
@@ -238,7 +251,7 @@ class Coder:
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """(number of ids, the ids joined by spaces, the bytes decoded from them) of each text."""
         if len(self.number) > REMEMBERED or self.held > REMEMBERED_BYTES:
-            self.forget()
+            self.thin()
         numbers, seen = [], []
         for text in texts:
             pieces = split(text)
@@ -249,7 +262,9 @@ class Coder:
             numbers.append(np.fromiter(map(self.number.__getitem__, pieces), np.int32, len(pieces)))
         if seen:
             self.learn(seen)
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.number) - len(self.uses), dtype=np.int64)])
         for each in numbers:
+            np.add.at(self.uses, each, 1)
             which = each.tolist()
             yield int(self.sizes[each].sum()), " ".join(map(self.ids.__getitem__, which)), b"".join(map(self.bytes.__getitem__, which))
 

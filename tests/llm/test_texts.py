@@ -55,6 +55,18 @@ def test_long_pieces(encoding, letters):
         assert ids == " ".join(map(str, expected)) and n == len(expected) and data == text.encode()
 
 
+def test_pieces_are_forgotten_and_learned_again(encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(1, 9))) for _ in range(120)]
+    coder = bpe.Coder(RANKS)
+    for _ in range(12):
+        texts = [" ".join(rng.choice(words[: rng.choice([5, 120])]) for _ in range(30)) for _ in range(3)] + [""]
+        for text, (n, ids, data) in zip(texts, coder.encode(texts), strict=True):
+            expected = encoding.encode_ordinary(text)
+            assert ids == " ".join(map(str, expected)) and n == len(expected) and data == text.encode()
+
+
 def test_a_very_long_piece_takes_little_time(encoding):
     import time
 
