@@ -40,6 +40,9 @@ SAMPLES, BANDS, ROWS, BITS = 512, 25, 5, 2048
 MARGIN = 0.085
 #: Partners of one pivot, and classes of one band, that are handled together.
 STAR, BLOCK = 16, 128
+#: A band of more than PARTS blocks gets larger ones, of MOST classes at most, so that rows
+#: are copied to few groups.
+PARTS, MOST = 12, 2048
 #: A class counts once for each so many shingles when blocks are dealt, so that a block's
 #: texts stay bounded in bytes; rows that are signed at once, and bytes of text at once.
 HEAVY, SIGNED, BLOCK_BYTES = 2000, 256, 1 << 20
@@ -199,13 +202,14 @@ def _rest(known: DataFrame, own: DataFrame, texts: DataFrame, store: Store, size
     """Links (a, b) between classes of one band but different components.
 
     known: band, k, id, component, weight.  In each band that holds several components, the
-    classes outside its largest one are dealt to blocks of BLOCK, and so is the largest;
+    classes outside its largest one are dealt to blocks, and so is the largest;
     each block of the former meets each other block in a group of its own.  Classes of
     the largest component don't meet each other.
     """
     sizes = known.groupBy("band", "component").agg(F.sum("weight").alias("n"))
     bands = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    bands = bands.select("band", F.col("big.component").alias("big"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).cast("int").alias("s"), F.ceil(F.col("big.n") / BLOCK).cast("int").alias("g"))
+    block = F.least(F.greatest(F.ceil(F.col("n") / PARTS), F.lit(BLOCK)), F.lit(MOST))
+    bands = bands.select("band", F.col("big.component").alias("big"), F.ceil((F.col("n") - F.col("big.n")) / block).cast("int").alias("s"), F.ceil(F.col("big.n") / block).cast("int").alias("g"))
     rows = store.table("open", known.join(store.table("bands_open", bands), "band"))
     is_big = F.col("component") == F.col("big")
     rows = rows.join(own.drop("weight"), "id").withColumn("own", F.when(is_big, F.col("s") + F.pmod(F.xxhash64("id"), "g")).otherwise(F.pmod(F.xxhash64("id"), "s")).cast("int"))

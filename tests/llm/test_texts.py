@@ -319,3 +319,112 @@ def test_quotation_counts_less():
     abuse, quoted = (toxicity.features(*toxicity.hits(t, lexicon)) for t in ("you are a moron indeed", 'they said “moron” in the report'))
     assert abuse[0] > 0 == abuse[1] and quoted[1] > 0 == quoted[0] and abuse[3] > quoted[3]
     assert json.dumps(abuse)
+
+
+def test_hits_and_their_context_by_brute_force():
+    rng = random.Random(21)
+    lexicon = toxicity.Lexicon({"moron": 5.0, "scum": 4.0, "idiot": 6.0}, {"wret": 3.0}, {"moron", "idiot"})
+    pool = ["moron", "Moron!", "m0ron", "morn", "scum", "scun", "idiots", "wretched", "said", "you", "“", "”", '"', "a", "b", "word", "fine", "x-idiot", "it's"]
+    for _ in range(300):
+        words = [rng.choice(pool) for _ in range(rng.randrange(25))]
+        expected = []
+        for i, w in enumerate(words):
+            found = []
+            for core in toxicity.cores(w.lower()):
+                if core in lexicon.terms:
+                    found.append((lexicon.terms[core], 0, core))
+                elif core.startswith("wret") and len(core) > 4:
+                    found.append((3.0, 0, "wret"))
+                elif len(core) >= 4 and (close := [t for t in ("moron", "idiot") if near(t, core)]):
+                    term = max(close, key=lambda t: (lexicon.terms[t], t))
+                    found.append((lexicon.terms[term], 1, term))
+            if not found:
+                continue
+            weight, edits, term = max(found, key=lambda f: (f[0], -f[1], f[2]))
+            before, after = words[max(0, i - 6) : i], words[i + 1 : i + 7]
+            around = {c for x in before + after for c in toxicity.cores(x.lower())}
+            opened = sum(x.count(m) for x in before for m in toxicity.MARKS)
+            closed = any(m in x for x in after for m in toxicity.MARKS)
+            expected.append((term, weight, edits, bool(opened % 2 and closed) or bool(around & toxicity.REPORTING), bool(around & toxicity.ADDRESS)))
+        assert toxicity.hits(" ".join(words), lexicon) == (expected, len(words))
+
+
+def test_lexicon_by_brute_force(spark):
+    from math import log
+
+    docs, labels = labelled_corpus(spark)
+    model = toxicity.fit(docs, labels)
+    text = {r.doc_id: r.text for r in docs.where("doc_id < 500").collect()}
+    held = {r.doc_id for r in docs.where("doc_id < 500").withColumn("h", labelled.held_out()).where("h").collect()}
+    toxic = {r.doc_id for r in labels.where("toxic = 1 and doc_id < 500").collect()}
+    rows = [(set(text[i].lower().replace("!!", "").split()), i in toxic) for i in text if i not in held]
+    n, m = sum(t for _, t in rows), sum(not t for _, t in rows)
+    expected = {}
+    for w in set().union(*(s for s, _ in rows)):
+        t, c = sum(w in s and y for s, y in rows), sum(w in s and not y for s, y in rows)
+        odds = log((t + 0.5) / (n + 1) / ((c + 0.5) / (m + 1)))
+        evidence = 2 * ((t * log(t / (t + c) / (n / (n + m))) if t else 0) + (c * log(c / (t + c) / (m / (n + m))) if c else 0))
+        if t >= 2 and odds >= toxicity.MIN_ODDS and evidence >= toxicity.MIN_EVIDENCE:
+            expected[w] = odds
+    assert set(expected) == {"zzidiot", "zzmoron", "zzscum"} == set(model.lexicon.terms)
+    assert all(abs(model.lexicon.terms[w] - expected[w]) < 1e-9 for w in expected)
+
+
+def test_context_vectors_and_pooling_by_brute_force(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from tessel.llm import text as tx
+
+    rng = random.Random(2)
+    words = [a + b for a in ("ka", "LO", "mi9", "né", "x.") for b in ("ba", "de", "", "GO", "!")]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(12))) for _ in range(30)] + [None, ""]
+    described = []
+    for t in texts:
+        [(_, _, block)] = list(tx.blocks(pa.array([t], pa.string()), tx.NOT_SPACE))
+        shape, bucket, _ = quality.describe(block)
+        described.append(list(zip(shape.tolist(), bucket.tolist(), strict=True)))
+    total = np.zeros((quality.SHAPES + quality.BUCKETS, quality.SIZE))
+    for own in described:
+        for i, names in enumerate(own):
+            for j in range(max(0, i - quality.NEAR), min(len(own), i + quality.NEAR + 1)):
+                if j != i:
+                    for name in names:
+                        total[name] += quality.INDEX[own[j][0]] + quality.INDEX[own[j][1]]
+    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
+    docs = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, doc_id long").repartition(3)
+    vectors = quality.contexts(docs)
+    assert np.abs(vectors - total).max() < 2e-6
+    [(_, _, block)] = list(tx.blocks(pa.array(texts, pa.string()), tx.NOT_SPACE))
+    pooled = quality.pool(block, vectors)
+    for row, own in zip(pooled, described, strict=True):
+        parts = [np.array([f(s, b) for s, b in own]).reshape(-1, quality.SIZE) for f in (lambda s, b: vectors[b], lambda s, b: vectors[s], lambda s, b: quality.INDEX[s], lambda s, b: quality.INDEX[b])]
+        expected = [p.mean(axis=0) if len(p) else np.zeros(quality.SIZE) for p in parts] + [parts[0].std(axis=0) if len(own) else np.zeros(quality.SIZE)]
+        assert np.abs(row - np.concatenate(expected)).max() < 1e-5
+
+
+def test_temperature_calibrates():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1500, 20))
+    y = (rng.random(1500) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(int)
+    network = quality.Network(x, y, np.ones(1500))
+    fresh = rng.standard_normal((4000, 20))
+    truth = (rng.random(4000) < 1 / (1 + np.exp(-2 * fresh[:, 0]))).astype(int)
+    loss = lambda p: -np.log(np.where(truth == 1, p, 1 - p)).mean()
+    calibrated = loss(network.scores(fresh))
+    warm, network.temperature = network.temperature, 1.0
+    assert warm != 1.0 and calibrated < loss(network.scores(fresh))
+
+
+def test_classifiers_take_clashing_columns_ties_and_repeated_rows(spark):
+    docs, labels = labelled_corpus(spark)
+    clash = docs.selectExpr("doc_id", "text", "lang as score", "source as y", "'p' as predicted", "'h' as held_out", "1 as id", "2 as key", "'l' as toxic", "'q' as quality")
+    clash = clash.unionByName(clash.where("doc_id < 3"))
+    more = labels.selectExpr("*", "'t' as text", "1 as y", "2 as id", "0.5 as score")
+    for report in (toxicity.report, quality.report):
+        plain = {r.doc_id: r for r in report(docs, labels).where("doc_id is not null").collect()}
+        found = report(clash, more).collect()
+        assert len(found) == 510 and all(abs(r.score - plain[r.doc_id].score) < 1e-6 for r in found if r.doc_id is not None)
+    assert toxicity.reject(clash, more).columns == clash.columns
