@@ -10,7 +10,14 @@ them is set aside to choose the temperature that calibrates its probabilities.
 
 Defined results: null and empty texts, and texts without words, are the zero vector and
 score as such; with fewer than two labels in the training rows every score is the label's
-share (0 without any).  Rows with a null id are scored like others and aren't held out.
+share (0 without any).  Rows with a null id are scored like others and aren't held out;
+repeated rows give a row each, and count in the corpus each time; of repeated labels of one
+id the largest counts; other columns of docs don't matter, whatever their names; an empty
+table gives an empty one.
+
+BUCKETS is a size of the model at every size of the corpus: rarer words share vectors, and
+the more words there are the more a bucket's vector tends to the corpus' mean; the shapes
+then tell most.  README says what each part gives.
 """
 
 from __future__ import annotations
@@ -138,7 +145,9 @@ class Network:
                 self.p[i] = self.p[i] - 0.01 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-9)
         if aside.any():
             logits, own, w = self._logits(z[aside]), y[aside], weights[aside]
-            loss = lambda t: -(w * np.log(np.maximum(np.where(own == 1, sigmoid(logits / t), 1 - sigmoid(logits / t)), 1e-12))).sum()
+            # targets as far from 0 and 1 as so few rows can tell, or rows without errors would ask for no temperature at all
+            target = np.where(own == 1, (own.sum() + 1) / (own.sum() + 2), 1 / ((1 - own).sum() + 2))
+            loss = lambda t: -(w * (target * np.log(sigmoid(logits / t)) + (1 - target) * np.log(sigmoid(-logits / t)))).sum()
             self.temperature = float(min(np.geomspace(0.25, 8, 60), key=loss))
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
