@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import text_successor
 
+#: Points in a span of an as-of join.
+SPAN = 50_000
+
 
 def get(df: DataFrame, **key) -> DataFrame:
     """The rows at a key; equality on leading columns gives a prefix read."""
@@ -85,14 +88,18 @@ def prefix_max(df: DataFrame, key: str, prefix: str) -> DataFrame:
     return prefix_scan(df, key, prefix).agg(F.max(key).alias(key))
 
 
-def as_of(probes: DataFrame, points: DataFrame, by: str, at: str, point_at: str, value: str, width: int) -> DataFrame:
+def as_of(probes: DataFrame, points: DataFrame, by: str, at: str, point_at: str, value: str, width: int | None = None) -> DataFrame:
     """For each probe, the value of the latest point of the same `by` at or before it.
 
-    at and point_at are longs (microseconds for times).  Time is cut into spans of width.
+    at and point_at are longs (microseconds for times).  Time is cut into spans of width,
+    which by default gives a span SPAN points of all keys together.
     Inside a span a window looks back; the value from earlier spans is carried over a
     table with one row for each key and span.  So a key with very many rows is spread
     over its spans instead of filling one task.
     """
+    if width is None:
+        low, high, n = points.agg(F.min(point_at), F.max(point_at), F.count(F.lit(1))).first()
+        width = (high - low) // max(1, n // SPAN) + 1 if n else 1
     span = lambda c: F.floor(F.col(c) / F.lit(width))
     names = probes.columns
     asked = probes.withColumn("span", span(at))

@@ -1,7 +1,7 @@
 """Several layers, versions or logged operations of a keyed table made into one state.
 
-The newest entry of each key wins, and it may be a tombstone.  Entries are pre-aggregated
-with max_by before their shuffle, so a key with many entries costs a task little.
+The newest entry of each key wins, and it may be a tombstone.  Entries that can't win are
+dropped before their shuffle, so a key with many entries costs a task little.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ def stack(layers: list[tuple[int, DataFrame]]) -> DataFrame:
 
 
 def newest(entries: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The entry of each key with the largest order columns."""
-    names = entries.columns
-    won = entries.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("_won"))
-    return won.select(*(F.col("_won")[n].alias(n) for n in names))
+    """The entry of each key with the largest order columns.
+
+    Spark keeps one entry of each key before the shuffle, and one after it.
+    """
+    w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
+    return entries.withColumn("_turn", F.row_number().over(w)).where("_turn = 1").drop("_turn")
 
 
 #: Tombstones that are written into the plan as a constant, ranges in a span of the others,

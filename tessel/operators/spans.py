@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Keys in a span, spans at most, sampled keys for each span.
-SPAN, MOST, DRAWN = 50_000, 1024, 20
+SPAN, MOST, DRAWN = 500_000, 1024, 20
 
 
 def bounds(df: DataFrame, key: str, span: int = SPAN) -> list:

@@ -187,9 +187,6 @@ def tree_stats(t):
     return kv.tree_stats(t.customer, "c_name", "c_mktsegment")
 
 
-_WIDTH = 6 * 3600 * 1_000_000
-
-
 @query("""select p.event_id, p.user_id, v.event_id as view_id
 from (select * from events where event_type = 'purchase') p
 asof left join (select * from events where event_type = 'view') v on p.user_id = v.user_id and p.ts >= v.ts""")
@@ -197,7 +194,7 @@ def batch_lower_bound(t):
     timed = t.events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     probes = timed.where("event_type = 'purchase'").select("event_id", "user_id", "at")
     points = timed.where("event_type = 'view'").select("user_id", "at", F.col("event_id").alias("view_id"))
-    return kv.as_of(probes, points, "user_id", "at", "at", "view_id", _WIDTH).select("event_id", "user_id", "view_id")
+    return kv.as_of(probes, points, "user_id", "at", "at", "view_id").select("event_id", "user_id", "view_id")
 
 
 both("filter", "select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderstatus = 'F' and o_totalprice > 100000")
