@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys in a span, spans at most, sampled keys for each span.
-SPAN, MOST, DRAWN = 500_000, 1024, 20
+#: Keys in a span (fewer keys are one span and one task), spans at most, sampled keys for each span.
+SPAN, MOST, DRAWN = 100_000, 1024, 20
 
 
 def bounds(df: DataFrame, key: str, span: int = SPAN) -> list:
