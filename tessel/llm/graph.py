@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .store import Store
 
 
-def components(spark: SparkSession, links: DataFrame, name: str = "components") -> DataFrame:
+def components(spark: SparkSession, links: DataFrame, store: Store | None = None) -> DataFrame:
     """(id, component): the smallest id reachable from every id in links (a, b).
 
     Each round sends every vertex's larger neighbours, then its smaller ones, to the
@@ -16,9 +16,9 @@ def components(spark: SparkSession, links: DataFrame, name: str = "components")
     longest path.  The minimum per vertex is pre-aggregated before its shuffle and
     written before it is joined back, so that both sides of the join come straight
     from an exchange and a hub's rows can be split over tasks.  Nothing but two
-    numbers for each round reaches the driver.
+    numbers for each round reaches the driver.  The tables are the store's to drop.
     """
-    store = Store(spark, name)
+    store = store or Store(spark, "components")
     a, b = F.col("a"), F.col("b")
 
     def tidy(df: DataFrame) -> DataFrame:

@@ -272,11 +272,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     members = store.table("members", banded.join(full, "band").select("band", "k", "id", "a", "weight"))
     tried = store.table("tried", members.where("a < id").groupBy("id").agg(F.min("a").alias("a")).select("a", F.col("id").alias("b")))
     links = store.table("links", _confirm(store, tried, texts, size, percent))
-    found = store.table("found", components(spark, links, "minhash-links"))
+    found = store.table("found", components(spark, links, store))
     known = store.table("known", members.join(found, "id", "left").select("band", "k", "id", F.coalesce("component", "id").alias("component"), "weight"))
     more = store.table("links", _rest(known, own, texts, store, size, percent))
     if not more.isEmpty():
-        found = store.table("found", components(spark, links.unionByName(more), "minhash-links"))
+        found = store.table("found", components(spark, links.unionByName(more), store))
     whole = classed.join(found, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("c"))
     whole = store.table("whole", whole)
     out = signed.select("id", "n", "f1", "f2").join(whole, ["f1", "f2"], "left")

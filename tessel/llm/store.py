@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir.
-
-    Only a local session without that setting gets a temporary folder; on a cluster
-    the setting is required, since a machine's own folder isn't seen by the others.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    made = "file://" + tempfile.mkdtemp(prefix="tessel-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+#: Tables and folders that results still read.
+_live: set[str] = set()
 
 
 #: Session settings for rows that hold whole texts, which bound what a task holds at once.
@@ -50,10 +37,24 @@ def new_path(spark: SparkSession, name: str) -> str:
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more."""
     for path in paths:
+        _live.discard(path)
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def keep(path: str) -> str:
+    """Note a folder that a result reads, for clean()."""
+    _live.add(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete all tables and folders that results of this process read, when none is needed any more."""
+    gone = list(_live)
+    drop(spark, *gone)
+    return len(gone)
+
+
 class Store:
     """Tables written by one run; each cuts the lineage and outlives executors."""
 
@@ -70,6 +71,7 @@ class Store:
         finally:
             self.spark.conf.set(CLEANUP, before)
         self.paths.setdefault(name, []).append(path)
+        _live.add(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

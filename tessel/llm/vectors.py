@@ -280,7 +280,7 @@ def classes(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     indexed = store.table("indexed", _index(single, _fit(single, leaf, trees, threshold)))
     found = store.table("pairs", _compare(indexed, store, threshold))
     counted = store.table("counts", found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links")))
-    reached = components(spark, found.where("b is not null").select("a", "b"), "vectors-links")
+    reached = components(spark, found.where("b is not null").select("a", "b"), store)
     of_class = once.join(counted, "id", "left").join(reached, "id", "left")
     of_class = store.table("classes", of_class.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component")))
     out = rows.select("id", "key").join(of_class, "key", "left")

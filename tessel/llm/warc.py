@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Store, drop, new_path
+from .store import Store, drop, keep, new_path
 
 #: Payloads of fewer bytes are always written whole.
 MIN_REVISIT = 100
@@ -246,7 +246,7 @@ def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id"
     """
     spark = pages.sparkSession
     store = Store(spark, "warc")
-    folder = qualified(spark, folder or new_path(spark, "warc-files"))
+    folder = qualified(spark, folder) if folder else keep(qualified(spark, new_path(spark, "warc-files")))
     payload = F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).alias("uri"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     large = rows.where((F.col("size") >= MIN_REVISIT) & F.col("id").isNotNull())
