@@ -1,7 +1,11 @@
 """A corpus pipeline of five operators, each over what its predecessor kept.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns the next
-stage's docs.  All but the last return the columns of documents.
+stage's docs.  All but the last return the columns of documents, whatever columns there are.
+
+Rows with null ids are rows like others in every stage; null and empty texts aren't toxic,
+no copies of others, not contaminated and without secrets, so they stay and have no tokens;
+of rows that are equal in all columns one stays.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -12,12 +16,12 @@ from tessel.llm import bpe, decontam, minhash, secrets, toxicity
 from tessel.llm.queries import ranks_path
 from tessel.llm.store import Store
 
-#: No stage but the secret scan can be expressed in SQL.
+#: Classifiers and tokens aren't expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go."""
+    """Documents that are predicted toxic go; each row is judged by its own text."""
     return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
