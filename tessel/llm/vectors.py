@@ -10,6 +10,10 @@ A split inside a group of near vectors would part its links, however it lies.  I
 WHOLE trees, splits go where they part few of the sample's links, and a label whose links
 are dense in a node and would be parted by every split stays there: the node is its leaf.
 
+How many trees a forest needs is measured: QUERIES rows are compared with all rows, in one
+pass, and trees are added until GOAL of the links found there (at most KNOWN a query) share
+a leaf, MOST_TREES at most.  With fewer than EVIDENCE links there are TREES trees.
+
 Vectors with equal directions cosine needs no search for: equal vectors of one label are
 put together first and stand as one with their count.  Pairs at or above the threshold are
 counted in one leaf only, the first that both vectors share, so no pair is listed; a leaf
@@ -26,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -35,10 +39,13 @@ from .store import Store
 #: Trees, expected rows of the whole sample, rows of one label in a leaf, and the share of
 #: a node's rows next to its split that go to both sides.  Labels are dealt to FORESTS
 #: forests by a hash, so that the sample and the thresholds stay bounded.
-TREES, SAMPLE, LEAF, SPILL, FORESTS = 10, 100_000, 200, 0.08, 64
+TREES, SAMPLE, LEAF, SPILL, FORESTS = 10, 100_000, 800, 0.08, 64
+#: Least and most trees where links are known; share of them to be found; rows compared with
+#: all rows (over all forests, and at least so many of each), and links kept of each.
+FEWEST, MOST_TREES, GOAL, QUERIES, QUERIES_EACH, KNOWN = 8, 48, 0.999, 512, 16, 16
 #: Trees that keep dense groups whole, the share of a label's pairs in a node that are links
 #: from which it is dense, the share of them that a split may part, and the places of splits.
-WHOLE, DENSE, PARTED, PLACES = 3, 1 / 64, 0.05, np.linspace(0.2, 0.8, 13)
+WHOLE, DENSE, PARTED, PLACES = 2, 1 / 1024, 0.05, np.linspace(0.2, 0.8, 13)
 #: Rows of a node whose pairs are looked at, and links below which nothing is told from them.
 LOOK, EVIDENCE = 256, 16
 #: Vectors of one leaf that are compared with one another in one task, and as one matrix;
@@ -131,6 +138,70 @@ def _usable(vec: str) -> F.Column:
     return F.coalesce(~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def meets(a: np.ndarray, b: np.ndarray, label: np.ndarray, tree: int, nodes: dict, stays: dict) -> np.ndarray:
+    """Whether row k of a and row k of b, both of label k, share a leaf of the tree."""
+    n = len(a)
+    row, leaf = leaves(np.concatenate([a, b]), np.concatenate([label, label]), tree, nodes, stays)
+    first = row < n
+    pair = np.rec.fromarrays([row % n, leaf])
+    got = np.zeros(n, dtype=bool)
+    got[row[first][np.isin(pair[first], pair[~first])]] = True
+    return got
+
+
+def forest(sample: np.ndarray, labels: np.ndarray, leaf: int, threshold: float, known: tuple[np.ndarray, np.ndarray, np.ndarray], trees: int = TREES) -> list[tuple[dict, dict]]:
+    """Trees until GOAL of the known links (vectors, vectors, places of their labels) share a leaf."""
+    a, b, label = known
+    enough = len(a) >= EVIDENCE
+    found = np.zeros(len(a), dtype=bool)
+    grown: list[tuple[dict, dict]] = []
+    while len(grown) < (max(MOST_TREES, trees) if enough else trees):
+        grown.append(grow(sample, labels, len(grown), leaf, threshold))
+        if enough:
+            found |= meets(a, b, label, len(grown) - 1, *grown[-1])
+            if len(grown) >= min(FEWEST, trees) and found.mean() >= GOAL:
+                break
+    return grown
+
+
+def _known(rows: DataFrame, queries: dict, threshold: float) -> dict:
+    """{(forest, size): [(place of the query, vector)]}: at most KNOWN links of each query, by a hash, from all rows.
+
+    queries: {(forest, size): (ids, unit vectors, places of the labels, place of each label)}.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches):
+        kept: dict[tuple, list] = {}
+        for batch in batches:
+            kinds = np.array(list(zip(batch.column("forest").to_pylist(), batch.column("size").to_pylist(), strict=True))).reshape(-1, 2)
+            all_ids, draws = np.asarray(batch.column("id")), np.asarray(batch.column("draw"))
+            for kind in {(f, n) for f, n in kinds.tolist()} & set(sent.value):
+                own = np.flatnonzero((kinds == kind).all(axis=1))
+                ids, vectors, places, names = sent.value[kind]
+                m = _matrix(batch.column("v").take(pa.array(own)), kind[1])
+                m /= np.linalg.norm(m, axis=1, keepdims=True)
+                labels = np.array([names.get(k, -1) for k in batch.column("label").take(pa.array(own)).to_pylist()])
+                near = (vectors @ m.T >= threshold) & (places[:, None] == labels) & (ids[:, None] != all_ids[own])
+                for q in np.flatnonzero(near.any(axis=1)).tolist():
+                    hits = np.flatnonzero(near[q])
+                    hits = hits[np.argsort(draws[own[hits]], kind="stable")[:KNOWN]]
+                    best = kept.get((*kind, q), []) + [(int(draws[own[k]]), m[k]) for k in hits.tolist()]
+                    kept[(*kind, q)] = sorted(best, key=lambda x: x[0])[:KNOWN]
+        out = [(*key, draw, v) for key, best in kept.items() for draw, v in best]
+        for at in range(0, len(out), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[at : at + 1000], strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["forest", "size", "q", "draw", "v"])
+
+    found = rows.select("id", "label", "forest", "size", "v", F.xxhash64("id", F.lit(6)).alias("draw")).mapInArrow(run, "forest int, size int, q int, draw long, v array<double>")
+    rank = F.row_number().over(Window.partitionBy("forest", "size", "q").orderBy("draw"))
+    links: dict[tuple, list] = {}
+    # QUERIES * KNOWN vectors at most, or QUERIES_EACH * KNOWN of each forest
+    for r in found.withColumn("rank", rank).where(F.col("rank") <= KNOWN).select("forest", "size", "q", "v").collect():
+        links.setdefault((r[0], r[1]), []).append((r[2], r[3]))
+    sent.unpersist()
+    return links
+
+
 def _fit(rows: DataFrame, leaf: int, trees: int, threshold: float) -> dict:
     """{(forest, size): (place of each label, nodes and stays of each tree)}, from about SAMPLE rows; vectors have few sizes."""
     kinds = {(r.forest, r.size): r for r in rows.groupBy("forest", "size", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("forest", "size").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()}
@@ -140,16 +211,24 @@ def _fit(rows: DataFrame, leaf: int, trees: int, threshold: float) -> dict:
     share = F.create_map(*[x for k, r in kinds.items() for x in (F.lit(f"{k[0]}:{k[1]}"), F.lit(min(1.0, each / r.n)))])
     draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     samples: dict[tuple, list] = {}
-    for r in rows.where(draw < share[F.concat_ws(":", "forest", "size")]).select("forest", "size", "v", "label").toLocalIterator():
-        samples.setdefault((r[0], r[1]), []).append((np.array(r[2], dtype=np.float32), r[3]))
-    model = {}
+    for r in rows.where(draw < share[F.concat_ws(":", "forest", "size")]).select("forest", "size", "v", "label", "id").toLocalIterator():
+        samples.setdefault((r[0], r[1]), []).append((np.array(r[2], dtype=np.float32), r[3], r[4]))
+    fitted, queries = {}, {}
+    total = sum(r.n for r in kinds.values())
     for kind, own in sorted(samples.items()):
-        sample = np.array([v for v, _ in own], dtype=np.float64)
-        names = {label: k for k, label in enumerate(dict.fromkeys(label for _, label in own))}
-        labels = np.array([names[label] for _, label in own])
-        sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        sample = np.array([v for v, _, _ in own], dtype=np.float64)
+        names = {label: k for k, label in enumerate(dict.fromkeys(label for _, label, _ in own))}
+        labels = np.array([names[label] for _, label, _ in own])
+        fitted[kind] = (names, labels, sample := sample / np.linalg.norm(sample, axis=1, keepdims=True))
+        some = np.random.default_rng(79).permutation(len(own))[: max(QUERIES_EACH, round(QUERIES * kinds[kind].n / total))]
+        queries[kind] = (np.array([own[k][2] for k in some.tolist()], dtype=np.int64), sample[some], labels[some], names)
+    links = _known(rows, queries, threshold)
+    model = {}
+    for kind, (names, labels, sample) in fitted.items():
+        asked, other = ([x[k] for x in links.get(kind, [])] for k in range(2))
+        known = (queries[kind][1][asked], np.array(other).reshape(-1, kind[1]), queries[kind][2][asked])
         # the leaves of the sample shrink with the share, so that those of all rows keep their size
-        model[kind] = (names, [grow(sample, labels, t, max(4, int(leaf * len(sample) / kinds[kind].most)), threshold) for t in range(trees)])
+        model[kind] = (names, forest(sample, labels, max(4, int(leaf * len(sample) / kinds[kind].most)), threshold, known, trees))
     return model
 
 
@@ -171,9 +250,9 @@ def _index(rows: DataFrame, model: dict) -> DataFrame:
                 own = [i for i, k in enumerate(kinds) if k == kind]
                 m = _matrix(batch.column("v").take(pa.array(own)), kind[1])
                 m /= np.linalg.norm(m, axis=1, keepdims=True)
-                names, forest = sent.value.get(kind, ({}, []))
+                names, grown = sent.value.get(kind, ({}, []))
                 labels = np.array([names.get(k, -1) for k in batch.column("label").take(pa.array(own)).to_pylist()])
-                for tree, (nodes, stays) in enumerate(forest):
+                for tree, (nodes, stays) in enumerate(grown):
                     for r, leaf in zip(*(x.tolist() for x in leaves(m, labels, tree, nodes, stays)), strict=True):
                         found[own[r]].append((tree << 48) | leaf)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "n", "label", "size", "v")), pa.array([sorted(x) for x in found], pa.list_(pa.int64()))], names=["id", "n", "label", "size", "v", "leaves"])

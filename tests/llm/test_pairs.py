@@ -214,6 +214,28 @@ def test_vectors_keep_a_dense_group_whole(spark):
     assert (got <= count).all() and got.sum() >= 0.95 * count.sum()
 
 
+def test_trees_are_added_until_a_loose_group_is_linked(spark):
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    group = unit(unit(rng.standard_normal(32)) * 0.93 + 0.42 * unit(rng.standard_normal((6000, 32))))
+    m = np.concatenate([group, unit(rng.standard_normal((6000, 32)))])
+    table = spark.createDataFrame([(i, v, 1) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>, label int")
+    near = np.triu(vectors.cosine(m[:6000], m[:6000]) >= 0.93, 1)
+    x, y = np.nonzero(near)
+    assert 100 < len(x) < 6000 * 6000 / 2 / 1024
+    got = sum(r.n_links for r in vectors.report(table).select("n_links").collect())
+    assert 0.97 * 2 * len(x) <= got <= 2 * len(x)
+    labels = np.zeros(len(m), dtype=np.int64)
+    known = (m[x[::7]], m[y[::7]], labels[x[::7]])
+    grown = vectors.forest(m, labels, 100, 0.93, known)
+    parts = [[set() for _ in m] for _ in grown]
+    for tree, (own, part) in enumerate(zip(grown, parts, strict=True)):
+        for row, leaf in zip(*vectors.leaves(m, labels, tree, *own), strict=True):
+            part[row].add(leaf)
+        met = vectors.meets(*known, tree, *own)
+        assert met.tolist() == [not part[a].isdisjoint(part[b]) for a, b in zip(x[::7], y[::7], strict=True)]
+
+
 def test_word_hashes_tell_words_apart():
     raw = np.frombuffer(b"abc abd abc  a", dtype=np.uint8)
     block = tx.Block(raw, np.array([0, 7, 7, 14]), tx.NOT_SPACE, False)
