@@ -50,7 +50,7 @@ WHOLE, DENSE, PARTED, PLACES = 2, 1 / 1024, 0.05, np.linspace(0.2, 0.8, 13)
 LOOK, EVIDENCE = 256, 16
 #: Vectors of one leaf that are compared with one another in one task, and as one matrix;
 #: a leaf of more than PARTS blocks gets larger blocks, up to MOST vectors.
-BLOCK, PARTS, MOST = 512, 12, 16_384
+BLOCK, TILE, PARTS, MOST = 2048, 512, 12, 16_384
 
 
 def _direction(tree: int, node: int, size: int) -> np.ndarray:
@@ -306,9 +306,9 @@ def _compare(indexed: DataFrame, store: Store, threshold: float) -> DataFrame:
                 k = parent[k]
             return k
 
-        for lo in range(0, len(left), BLOCK):
-            for at in range(lo if i == j else 0, len(right), BLOCK):
-                x, y = left[lo : lo + BLOCK], right[at : at + BLOCK]
+        for lo in range(0, len(left), TILE):
+            for at in range(lo if i == j else 0, len(right), TILE):
+                x, y = left[lo : lo + TILE], right[at : at + TILE]
                 near = (cosine(m[x], m[y]) >= threshold) & (x[:, None] < y[None, :] if i == j else True)
                 p, q = near.any(axis=1), near.any(axis=0)
                 if not p.any():
